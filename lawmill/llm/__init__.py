@@ -1,0 +1 @@
+"""Operators for text and vectors as training data. Nothing outside this package imports it."""

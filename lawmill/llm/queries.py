@@ -1,2 +1,46 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries of the operators in this package, with SQL where SQL can say the same."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lawmill.llm import lookalike
+from lawmill.session import table
+
+
+def _form_keys(spark: SparkSession, d: str) -> DataFrame:
+    clauses, laws = table(spark, d, "audit_state"), table(spark, d, "build_from_downloads")
+    return lookalike.form_keys(
+        [("audit_state.body", clauses, "row_id", "body", None), ("audit_state.article", clauses, "row_id", "article", "file"),
+         ("build_from_downloads.title", laws, "row_id", "title", "file")], "forms",
+    )
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_form_keys(spark, d))
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.lookalike_classes(_form_keys(spark, d))
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "audit_state").select("row_id", "body", "article")
+    return lookalike.consistent_form(rows, {"body": "body_form", "article": "article_form"}).select("row_id", "body_form", "article_form")
+
+
+_FORMS_CTE = f"""
+with rows as (
+  select 'audit_state.body' as field, row_id as id, '' as scope, body as raw from audit_state where body is not null
+  union all select 'audit_state.article', row_id, '=' || coalesce(file, '~'), article from audit_state where article is not null
+  union all select 'build_from_downloads.title', row_id, '=' || coalesce(file, '~'), title from build_from_downloads where title is not null),
+forms as (select field, id, scope, raw, {lookalike.form_sql('raw')} as form from rows)
+"""
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms}
+SQL = {
+    "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
+    "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
+    "p2_forms": f"select row_id, {lookalike.form_sql('body')} as body_form, {lookalike.form_sql('article')} as article_form from audit_state",
+}
