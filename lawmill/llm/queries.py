@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import leaks, lookalike, spans
-from lawmill.session import table
+from lawmill.llm import leaks, lookalike, packing, spans
+from lawmill.session import staged, table
 
 
 def _form_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -30,6 +30,19 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.consistent_form(rows, {"body": "body_form", "article": "article_form"}).select("row_id", "body_form", "article_form")
 
 
+def p6_assign(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "containers"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_fill(staged(p6_assign(spark, d), "packed"), table(spark, d, "containers"))
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    fill = p6_fill(spark, d).groupBy("container_kind", "capacity").agg(F.count("*").alias("containers"), F.sum("texts").alias("pieces"), F.sum("tokens").alias("tokens"))
+    return fill.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
 def _leaks(spark: SparkSession, d: str, **options) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_queries"), "item_id", ["question", "passage"], **options)
 
@@ -70,7 +83,7 @@ with rows as (
 forms as (select field, id, scope, raw, {lookalike.form_sql('raw')} as form from rows)
 """
 
-QUERIES = {"p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
+QUERIES = {"p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
 SQL = {
     "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
     "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
