@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import leaks, lookalike, neighbors, packing, spans
+from lawmill.llm import leaks, linkage, lookalike, neighbors, packing, spans
 from lawmill.session import staged, table
 
 
@@ -42,6 +42,14 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).withColumn("cosine", F.round("cosine", 6))
 
 
+def p5_matches(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.linked(table(spark, d, "build_from_downloads"), table(spark, d, "fetch_local_meta"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_matches(spark, d).filter("confidence > 0.5").select("file", "bbbs")
+
+
 def p6_assign(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "containers"))
 
@@ -95,7 +103,7 @@ with rows as (
 forms as (select field, id, scope, raw, {lookalike.form_sql('raw')} as form from rows)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
 SQL = {
     "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
     "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
