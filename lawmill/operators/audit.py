@@ -66,7 +66,8 @@ def coverage(current: DataFrame, index: DataFrame) -> DataFrame:
 def gate(changed: DataFrame, share: DataFrame, enabled: bool = True, present: bool = True, least: float = 0.99) -> DataFrame:
     """One row: status of the index (disabled, missing, stale, uncovered, valid), how many clauses changed, whether
     vectors are used, and the answer gate ('conditional' unless the index is in use or merely uncovered)."""
-    n = changed.agg(F.count("*").alias("changed_clauses"))
+    n = changed.agg(F.count("*").alias("changed_clauses")).select("changed_clauses", F.lit(None).cast("double").alias("share"))
+    both = n.unionByName(share.select(F.lit(None).cast("long").alias("changed_clauses"), F.col("share").cast("double"))).agg(F.max("changed_clauses").alias("changed_clauses"), F.max("share").alias("share"))
     status = F.lit("disabled") if not enabled else F.lit("missing") if not present else F.when(F.col("changed_clauses") > 0, "stale").when(F.col("share") < least, "uncovered").otherwise("valid")
-    rows = n.join(F.broadcast(share.select("share"))).withColumn("status", status)  # one row each
+    rows = both.withColumn("status", status)
     return rows.select("status", "changed_clauses", (F.col("status") == "valid").alias("uses_vectors"), F.when(F.col("status").isin("stale", "missing", "disabled"), "conditional").otherwise("allowed").alias("answer_gate"))

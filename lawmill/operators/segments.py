@@ -14,7 +14,7 @@ CHAPTER = rf"^第{NUMBER}+[{BLANK}]*[章节]"
 BOOK = rf"^第{NUMBER}+[{BLANK}]*(?:分编|[编篇])"
 ITEM = "^[（(][一二三四五六七八九十]+[）)]"
 HEADING = rf"^#{{2,3}}[{BLANK}]*(.+?)[{BLANK}]*$"
-LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085  ]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 MOST_SEGMENTS = 8
 
 
