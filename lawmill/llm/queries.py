@@ -103,9 +103,34 @@ with rows as (
 forms as (select field, id, scope, raw, {lookalike.form_sql('raw')} as form from rows)
 """
 
+_NEAREST_SQL = """
+v as (select keys as key, min(vectors::double[]) as vec from build_vectors
+      where keys is not null and len(vectors) = 64 and len(list_filter(vectors, lambda x: x <> 0)) > 0 group by keys),
+near as (select * from (select a.key as a, b.key as b, list_cosine_similarity(a.vec, b.vec) as cosine,
+           row_number() over (partition by a.key order by round(list_cosine_similarity(a.vec, b.vec), 9) desc, b.key) as rank
+         from v a, v b where a.key <> b.key) where rank <= 5)"""
+_COMPARED = lambda c: rf"regexp_replace(lower(nfc_normalize({lookalike._translate(c, lookalike.width_map())})), '[^\pL\pN]', '', 'g')"
+_LEAKS_SQL = f"""
+items as (select item_id, {_COMPARED('t')} as t from (select item_id, question as t from eval_queries union all select item_id, passage from eval_queries) where t is not null),
+item_runs as (select distinct item_id, substr(t, i, 40) as g from (select item_id, t, unnest(range(1, length(t) - 38)) as i from items where length(t) >= 40)),
+texts as (select doc_id, {_COMPARED('text')} as t from documents where text is not null),
+doc_runs as (select doc_id, substr(t, i, 40) as g from (select doc_id, t, unnest(range(1, length(t) - 38)) as i from texts where length(t) >= 40))"""
+_SPANS_SQL = """
+grams as (select doc_id, i, hash(substr(text, i, 200)) as g from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
+shared as (select g from grams group by g having min(doc_id) <> max(doc_id)),
+held as (select g.doc_id, g.i, g.g from grams g join shared s on g.g = s.g)"""
+
 QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
 SQL = {
     "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
     "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
     "p2_forms": f"select row_id, {lookalike.form_sql('body')} as body_form, {lookalike.form_sql('article')} as article_form from audit_state",
+    "p3_found": f"with {_NEAREST_SQL} select distinct least(a, b) as key_a, greatest(a, b) as key_b from near where cosine >= 0.9",
+    "p7_found": f"with {_LEAKS_SQL} select distinct item_id, doc_id from item_runs join doc_runs using (g)",
+    "p8_found": f"with {_SPANS_SQL} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b on a.g = b.g and a.doc_id < b.doc_id",
+    "p8_shares": f"""with {_SPANS_SQL},
+      covered as (select doc_id, sum(least(200, coalesce(after - i, 200))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as after from (select distinct doc_id, i from held)) group by doc_id),
+      partners as (select a.doc_id, count(distinct b.doc_id) as n from held a join held b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id)
+      select d.doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c.n, 0)::bigint as shared_chars, case when length(text) > 0 then coalesce(c.n, 0) / length(text) else 0.0 end::double as share, coalesce(p.n, 0) as held_by
+      from documents d left join covered c on d.doc_id = c.doc_id left join partners p on d.doc_id = p.doc_id""",
 }
