@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC, CRLF as LF, white space at the ends cut; null as ''. Spark has no such function of its own."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x or "").replace("\r\n", "\n").strip())

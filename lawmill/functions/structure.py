@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What the lines of a head look like.
 _N = "[零一二三四五六七八九十百千万两]"
@@ -106,7 +107,13 @@ def parse(paras: list[str], doc_title: str = "") -> dict:
     return {"title": paras[0], "history": history, "doc_number": number, "body": body, "article_count": count(_ARTICLE), "chapter_count": count(_CHAPTER)}
 
 
-@F.pandas_udf("title string, history string, doc_number string, body array<string>, article_count int, chapter_count int")
+_PARSED = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("title", "history", "doc_number")]
+    + [T.StructField("body", T.ArrayType(T.StringType())), T.StructField("article_count", T.IntegerType()), T.StructField("chapter_count", T.IntegerType())]
+)
+
+
+@F.pandas_udf(_PARSED)
 def structure(paras: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for p, t in paras:
         yield pd.DataFrame([parse(x, y) for x, y in zip(p, t, strict=True)])

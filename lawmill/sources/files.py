@@ -11,6 +11,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lawmill.functions.titles import yaml_value
 
@@ -39,7 +40,7 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """file, text of whole markdown files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def front_matter(text: Column) -> Column:
@@ -98,7 +99,7 @@ def paragraphs_of(content: bytes | None) -> list[str] | None:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def docx_paragraphs(content: pd.Series) -> pd.Series:
     return content.map(paragraphs_of)
 

@@ -11,7 +11,7 @@ from lawmill.operators.segments import clauses
 
 def clause_stream(spark: SparkSession, landing: str) -> DataFrame:
     """Clauses of markdown files as they land: file, article, chapter, body, line. No state, so late files are fine."""
-    texts = spark.readStream.option("wholetext", True).text(landing).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    texts = spark.readStream.text(landing, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return clauses(texts, "text")
 
 
