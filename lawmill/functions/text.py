@@ -14,9 +14,13 @@ _DATE = (
 )
 
 
+#: The same characters one by one, for trimming without a pattern.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def stripped(c: Column) -> Column:
     """Without white space of any kind at either end; null stays null."""
-    return F.regexp_replace(c, f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def without_blanks(c: Column) -> Column:

@@ -47,20 +47,25 @@ def clauses(df: DataFrame, text: str) -> DataFrame:
     cut = df.select(*names, F.explode(F.array(lines)).alias("_lines"), offset.alias("_offset"))
     marks = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"), F.when(x.rlike(HEADING), head(x)).alias("label"))), lambda m: m["k"].isNotNull())
     marked = cut.select(*names, "_lines", "_offset", F.explode(F.array(marks)).alias("_marks"))
-    each = marked.select(*names, "_lines", "_offset", "_marks", F.posexplode("_marks").alias("_at", "_m")).filter("_m.k = 'a'")
-    before = F.slice("_marks", 1, F.col("_at"))
-    book_at = F.array_max(F.transform(before, lambda m, i: F.when(m["k"].isin("b", "o"), i)))
-    real_book_at = F.coalesce(F.array_max(F.transform(before, lambda m, i: F.when(m["k"] == "b", i))), F.lit(-1))
-    chapter_at = F.array_max(F.transform(before, lambda m, i: F.when(m["k"] == "c", i)))
-    book = F.coalesce(F.get(before, book_at)["label"], F.lit(""))
-    chapter = F.when(chapter_at > real_book_at, F.get(before, chapter_at)["label"]).otherwise("")
-    end = F.coalesce(F.get("_marks", F.col("_at") + 1)["i"], F.size("_lines"))
-    own = F.slice("_lines", F.col("_m.i") + 1, end - F.col("_m.i"))
-    body = F.array_join(F.filter(F.transform(own, stripped), lambda x: x != ""), " ")
-    return each.select(
-        *names, first_word(F.get("_lines", F.col("_m.i"))).alias("article"), F.array_join(F.filter(F.array(book, chapter), lambda x: x != ""), " ").alias("chapter"),
-        body.alias("body"), (F.col("_m.i") + F.col("_offset") + 1).cast("int").alias("line"),
-    )
+
+    def clause(m: Column, at: Column) -> Column:
+        before = F.slice("_marks", 1, at)
+        book_at = F.array_max(F.transform(before, lambda x, i: F.when(x["k"].isin("b", "o"), i)))
+        real_book_at = F.coalesce(F.array_max(F.transform(before, lambda x, i: F.when(x["k"] == "b", i))), F.lit(-1))
+        chapter_at = F.array_max(F.transform(before, lambda x, i: F.when(x["k"] == "c", i)))
+        book = F.coalesce(F.get(before, book_at)["label"], F.lit(""))
+        chapter = F.when(chapter_at > real_book_at, F.get(before, chapter_at)["label"]).otherwise("")
+        end = F.coalesce(F.get("_marks", at + 1)["i"], F.size("_lines"))
+        own = F.slice("_lines", m["i"] + 1, end - m["i"])
+        return F.struct(
+            first_word(F.get("_lines", m["i"])).alias("article"), F.array_join(F.filter(F.array(book, chapter), lambda x: x != ""), " ").alias("chapter"),
+            F.array_join(F.filter(F.transform(own, stripped), lambda x: x != ""), " ").alias("body"), (m["i"] + F.col("_offset") + 1).cast("int").alias("line"),
+        )
+
+    # only the finished clauses are exploded: a row never carries the whole text
+    found = F.filter(F.transform("_marks", lambda m, i: F.when(m["k"] == "a", clause(m, i))), lambda c: c.isNotNull())
+    each = marked.select(*names, F.explode(found).alias("_c"))
+    return each.select(*names, "_c.article", "_c.chapter", "_c.body", "_c.line")
 
 
 def paragraphs(body: Column, head: Column) -> Column:

@@ -10,7 +10,7 @@ from lawmill.operators import evaluation as E
 from lawmill.operators import fusion, segments
 from lawmill.operators.terms import EXPANSION_WEIGHT, GRAMS, LONGEST_PHRASE, SEPARATOR, STOP_CHARS, build_terms
 from lawmill.plans.common import CLAUSES_SQL, EXPANSIONS, clauses, searched
-from lawmill.session import staged, table
+from lawmill.session import spread, staged, table
 
 DIM = 64
 
@@ -69,7 +69,7 @@ def segment_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segment_lines(spark: SparkSession, d: str) -> DataFrame:
-    return segments.clauses(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "article", "chapter", "body", "line")
+    return segments.clauses(spread(table(spark, d, "documents").select("doc_id", "text")), "text").select("doc_id", "article", "chapter", "body", "line")
 
 
 def clause_paragraphs(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +78,7 @@ def clause_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str, terms: list[str], any_term: bool) -> DataFrame:
-    return segments.hits_per_text(table(spark, d, "documents"), "doc_id", "text", terms, any_term)
+    return segments.hits_per_text(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", terms, any_term)
 
 
 def keyword_all(spark: SparkSession, d: str) -> DataFrame:
