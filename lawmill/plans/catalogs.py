@@ -230,6 +230,15 @@ local as (select * from (select title, promulgated, effective, row_number() over
 remote as (select * from (select title, coalesce(date, '') as promulgated, effective, row_number() over (partition by title order by coalesce(date, '') desc, effective desc) as rn from official) where rn = 1)"""
 _LINE = r"""to_json({'article': coalesce(article, ''), 'body': coalesce(body, ''), 'file': coalesce(file, ''), 'law': coalesce(title, ''), 'layer': coalesce(layer, ''), 'status': coalesce(status, '')})::varchar"""
 
+
+
+def _han_int(c: str) -> str:
+    placed = f"translate({c}, '〇○零一二两三四五六七八九', '0001223456789')"
+    tens = "^([一二两三四五六七八九]?)十([一二两三四五六七八九]?)$"
+    digit = lambda i, empty: f"coalesce(try_cast(translate(regexp_extract({c}, '{tens}', {i}), '一二两三四五六七八九', '1223456789') as int), {empty})"
+    return rf"case when regexp_matches({placed}, '^\d{{1,9}}$') then try_cast({placed} as int) when regexp_matches({c}, '{tens}') then {digit(1, 1)} * 10 + {digit(2, 0)} end"
+
+
 SQL = {
     "file_names": f"with {LAWS_SQL}, {_FILES} select file, name as title, stamp as date, voided from files",
     "catalog_match": f"""with {LAWS_SQL}, {_FILES}, {_OFFICIAL},
@@ -288,4 +297,14 @@ SQL = {
     "audit_gate": f"""with {_COVER}, {_STATES}, s as (select (select count(*) from diff) as changed_clauses, (select covered / greatest(keys, 1) from cover) as share),
       g as (select case when changed_clauses > 0 then 'stale' when share < 0.99 then 'uncovered' else 'valid' end as status, changed_clauses from s)
       select status, changed_clauses, status = 'valid' as uses_vectors, case when status = 'stale' then 'conditional' else 'allowed' end as answer_gate from g""",
+    "article_numerals": f"""with n as (select distinct line, lpad(line::varchar, 4, '0') as t from audit_state where line between 1 and 9999),
+      spoken as (select line, {' || '.join(f"case when t[{i}] = '0' then '零' else translate(t[{i}], '123456789', '一二三四五六七八九') || '{u}' end" for i, u in ((1, '千'), (2, '百'), (3, '十'), (4, '')))} as s from n),
+      han as (select line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '零+$', ''), '^零+', ''), '零+', '零', 'g'), '^一十', '十') as h from spoken)
+      select line, '第' || h || '条' as label, {_han_int('h')} as back from han""",
+    "effective_backfill": rf"""with m as (select doc_id, published, coalesce(text, '') as text, {', '.join(f"regexp_extract_all(coalesce(text, ''), '{numerals.EFFECTIVE}', {i}) as g{i}" for i in (1, 2, 3))} from documents),
+      e as (select doc_id, generate_subscripts(g1, 1) as i, unnest(g1) as y, unnest(g2) as mo, unnest(g3) as da from m),
+      v as (select doc_id, i, {_han_int('y')} as y, {_han_int('mo')} as mo, {_han_int('da')} as da from e),
+      last as (select doc_id, arg_max(printf('%04d-%02d-%02d', y, mo, da), i) as day from v where y > 0 and mo > 0 and da > 0 group by doc_id),
+      r as (select m.doc_id, coalesce(day, case when coalesce(published, '') <> '' and regexp_matches(text, '{numerals.FROM_PUBLICATION}') then published else '' end) as effective from m left join last on m.doc_id = last.doc_id)
+      select doc_id, effective from r where effective <> ''""",
 }

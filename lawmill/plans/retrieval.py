@@ -266,4 +266,10 @@ SQL = {
     "hits_by_kind": _POSITIONS + "select kind, count(*) as questions, sum((coalesce(first, 1000000000) <= 8)::bigint)::bigint as hits from found join eval_queries q on found.qid = q.item_id group by kind",
     "hit_histogram": _POSITIONS + "select first, count(*) as questions from found group by first",
     "unknown_answers": f"with {CLAUSES_SQL} select qid, u.law as law, u.article as article from (select item_id as qid, unnest(must_include) as u from eval_queries) w where not exists (select 1 from clauses c where c.title = w.u.law and c.article = w.u.article)",
+    "clause_paragraphs": rf"""with {CLAUSES_SQL},
+      l as (select key, concat_ws(' ', coalesce(title, ''), coalesce(article, '')) as head, list_filter(list_transform(regexp_split_to_array(coalesce(body, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
+              lambda x: {_STRIP}), lambda x: x <> '' and not starts_with(x, '#')) as l from all_clauses),
+      p as (select key, head, list_filter(string_split(array_to_string(list_transform(l, lambda x, i: case when i = 1 then x when regexp_matches(x, '{segments.ITEM}') then ' ' || x else chr(10) || x end), ''), chr(10)), lambda x: x <> '') as p from l),
+      s as (select key, case when len(p) > 1 then list_transform(p[:{segments.MOST_SEGMENTS}], lambda x, i: head || ' 第' || i || '款 ' || x) when len(p) = 1 then [head || ' ' || p[1]] else [head] end as s from p)
+      select key, (generate_subscripts(s, 1) - 1)::int as n, unnest(s) as segment from s""",
 }
