@@ -41,22 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def _stage_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lawmill-{spark.sparkContext.applicationId}"
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives the loss of executors,
-    and is computed once however often it is used."""
+    and is computed once however often it is used. The table stays until clear_staged or the folder's owner drops it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lawmill-{label}-{uuid.uuid4().hex}"
+    path = f"{_stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_staged(spark: SparkSession) -> None:
+    """Drop the tables this application staged; results that were not written elsewhere become unreadable."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame, factor: int = 3) -> DataFrame:
-    """Give a table that arrives in few files enough partitions to keep all cores busy with per-row work."""
+    """Give a scan that arrives in few splits enough partitions to keep all cores busy with per-row work. A plan with an
+    exchange is left alone: it has Spark's partitions, and counting them would run it."""
     spark = df.sparkSession
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores * factor) if df.rdd.getNumPartitions() < cores else df
 

@@ -47,3 +47,20 @@ def test_embedding_and_resuming(spark, rows):
         embedded(clauses, lambda texts: toy(texts)[:0]).collect()
     parts = spark.createDataFrame([("k", "t", None, "c", "b ")], "key string, title string, article string, chapter string, body string")
     assert rows(embedding_text(parts)) == [("k", "t  c b")]
+
+
+def test_staged_tables_and_spreading(spark, rows):
+    from pathlib import Path
+
+    from lawmill.session import clear_staged, shared_dir, spread, staged
+
+    df = staged(spark.range(10), "t")
+    assert df.count() == 10
+    few = spread(spark.range(0, 10, 1, 1))
+    assert few.rdd.getNumPartitions() >= 4 and rows(few) == rows(df)
+    shuffled = df.groupBy("id").count()
+    assert spread(shuffled) is shuffled
+    at = Path(shared_dir(spark).removeprefix("file://")) / f"lawmill-{spark.sparkContext.applicationId}"
+    assert at.exists()
+    clear_staged(spark)
+    assert not at.exists()
