@@ -76,7 +76,7 @@ def p7_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, max_edits=2).select("item_id", "doc_id")
+    return _leaks(spark, d, max_edits=1).select("item_id", "doc_id")
 
 
 def _spans(spark: SparkSession, d: str) -> spans.SharedSpans:
