@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lawmill.functions.hashing import clause_json, digest, nfkc
 
-#: Parts of the key space whose digests make up a corpus fingerprint.
-PARTS = 256
+#: Hexadecimal digits that hashes of one part share, level by level: 65,536 parts, then 256, then one.
+LEVELS = (4, 2)
 
 
 def clause_hashes(df: DataFrame, normalize: bool = True) -> DataFrame:
@@ -28,16 +28,16 @@ def clause_hashes(df: DataFrame, normalize: bool = True) -> DataFrame:
 def fingerprint(rows: DataFrame, *values: Column) -> DataFrame:
     """One row (fingerprint, rows): the same for any order of rows, another if any value changes.
 
-    Values are hashed, the hashes sorted within PARTS parts by their first byte, and the parts' digests hashed: no task holds
-    more than a part, where sorting all rows in one place would need them all.
+    Values are hashed; the hashes are sorted and hashed within 65,536 parts, the parts' digests within 256, those in one: no
+    task holds more than a part, where sorting all rows in one place would need them all.
     """
     line = F.sha2(F.to_json(F.array(*[F.coalesce(v, F.lit("")) for v in values])), 256)
-    per = rows.select(line.alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    parts = per.groupBy(F.substr("h", F.lit(1), F.lit(2)).alias("part")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("h", F.lit(":"), F.col("n").cast("string")))), ","), 256).alias("d"), F.sum("n").alias("n")
-    )
-    whole = parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit("="), "d"))), ","), 256).alias("f"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"))
-    return whole.select(F.concat(F.lit("sha256:"), "f").alias("fingerprint"), "rows")
+    level = rows.select(line.alias("part")).groupBy("part").agg(F.count("*").alias("n")).withColumn("d", F.col("n").cast("string"))
+    for digits in LEVELS:
+        listed = F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit("="), "d"))), ",")
+        level = level.groupBy(F.substr("part", F.lit(1), F.lit(digits)).alias("part")).agg(F.sha2(listed, 256).alias("d"), F.sum("n").alias("n"))
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat("part", F.lit("="), "d"))), ",")
+    return level.agg(F.concat(F.lit("sha256:"), F.sha2(listed, 256)).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"))
 
 
 def exact_fingerprint(hashes: DataFrame) -> DataFrame:

@@ -290,8 +290,9 @@ SQL = {
     "doc_hash": f"with {CLAUSES_SQL} select key, 'sha256:' || sha256({_LINE}) as hash from all_clauses",
     "corpus_fingerprint": f"""with {CLAUSES_SQL},
       h as (select h, count(*) as n from (select sha256(to_json([key, coalesce(title, ''), coalesce(article, ''), coalesce(body, ''), coalesce(status, ''), coalesce(layer, '')])::varchar) as h from all_clauses) group by h),
-      parts as (select substr(h, 1, 2) as part, sha256(string_agg(h || ':' || n, ',' order by h || ':' || n)) as d, sum(n) as n from h group by 1)
-      select 'sha256:' || sha256(string_agg(part || '=' || d, ',' order by part || '=' || d)) as fingerprint, sum(n)::bigint as rows from parts""",
+      four as (select substr(h, 1, 4) as part, sha256(string_agg(h || '=' || n, ',' order by h || '=' || n)) as d, sum(n) as n from h group by 1),
+      two as (select substr(part, 1, 2) as part, sha256(string_agg(part || '=' || d, ',' order by part || '=' || d)) as d, sum(n) as n from four group by 1)
+      select 'sha256:' || sha256(string_agg(part || '=' || d, ',' order by part || '=' || d)) as fingerprint, sum(n)::bigint as rows from two""",
     "index_diff": f"with {_STATES} select key, change from diff",
     "index_coverage": f"with {_COVER} select keys, covered, round(covered / greatest(keys, 1), 6) as share from cover",
     "audit_gate": f"""with {_COVER}, {_STATES}, s as (select (select count(*) from diff) as changed_clauses, (select covered / greatest(keys, 1) from cover) as share),
