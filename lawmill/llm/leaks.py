@@ -143,18 +143,18 @@ class _Index:
         owner = np.repeat(np.arange(len(chars)), counts)
         place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * n
         best: dict[tuple[int, int], int] = {}
-        tried: set[tuple[int, int, int, int]] = set()
+        seen: dict[tuple[int, int, int, int], int] = {}  # where the last run on a diagonal ended; another may follow
         for s, (codes, own, at) in enumerate(self.tables):
             got = walk_codes(windows, s)
             lo = np.searchsorted(codes, got)
             for w in np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == got) if len(codes) else ():
                 for e in range(int(lo[w]), int(np.searchsorted(codes, got[w], "right"))):
                     t, i, j, p = int(owner[w]), int(own[e]), int(at[e]), int(place[w])
-                    if best.get((t, i), 0) >= self.run and max_edits or (t, i, p - j, p if max_edits else 0) in tried:
+                    if max_edits and best.get((t, i), 0) >= self.run or p < seen.get((s, t, i, p - j), 0):
                         continue
-                    tried.add((t, i, p - j, p if max_edits else 0))
                     a, b = self.chars[i], chars[t]
-                    length = common_run(a, j, b, p)[2]
+                    _, begin, length = common_run(a, j, b, p)
+                    seen[s, t, i, p - j] = begin + length
                     if length >= self.run:
                         best[t, i] = max(length, best.get((t, i), 0))
                     elif max_edits:

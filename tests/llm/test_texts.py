@@ -85,6 +85,15 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked_items(docs(spark, rows), "doc_id", "text", items.limit(0), "item_id", ["question"]).count() == 0
 
 
+def test_a_second_run_on_the_same_diagonal(spark):
+    rng = random.Random(8)
+    q = noise(rng, 90)
+    items = spark.createDataFrame([(1, q, None, "d", "r")], ITEMS)
+    rows = [(1, q[:30] + "甲" + q[31:75]), (2, q[:44] + "甲" + q[45:70]), (3, q[:30] + "甲" + q[31:60] + "乙" + q[61:])]
+    got = {r.doc_id: r.run for r in leaks.leaked_items(docs(spark, rows), "doc_id", "text", items, "item_id", ["question"]).collect()}
+    assert got == {1: 44, 2: 44}
+
+
 def test_width_and_case_are_evened_out():
     a, b = leaks.compared_chars("ＡＢ－ｃ１ 法。é"), leaks.compared_chars("ab c1\n法，É")
     assert (a == b).all() and len(leaks.compared_chars(None)) == 0
