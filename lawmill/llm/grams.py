@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -60,7 +62,6 @@ def chosen_units(arrays: list[np.ndarray], k: int, w: int) -> tuple[np.ndarray,
 
     In any w neighbouring windows of k characters at least the one of the smallest hash is chosen, the leftmost on a
     tie. So any stretch of w + k - 1 characters holds a chosen unit, and the same one wherever the stretch occurs.
-    Of units that repeat at a distance under k (a periodic stretch) only the first and the last are kept.
     """
     pieces = [(i, lo, a[lo : lo + CHUNK + k + w - 2]) for i, a in enumerate(arrays) for lo in range(0, max(1, len(a) - k - w + 2), CHUNK)]
     lengths = np.array([len(a) for _, _, a in pieces], dtype=np.int64)
@@ -87,9 +88,63 @@ def chosen_units(arrays: list[np.ndarray], k: int, w: int) -> tuple[np.ndarray,
         new = np.ones(len(at), dtype=bool)
         new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
         own, at, u = own[new], at[new], u[new]
-    if len(at) > 2:
-        near = (u[1:] == u[:-1]) & (own[1:] == own[:-1]) & (at[1:] - at[:-1] < k)
-        keep = np.ones(len(at), dtype=bool)
-        keep[1:-1] = ~(near[:-1] & near[1:])
-        own, at, u = own[keep], at[keep], u[keep]
     return own, at, u
+
+
+def _periods(chars: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The smallest period under k of the k characters at each place, 0 where there is none."""
+    period = np.zeros(len(at), dtype=np.int64)
+    for d in range(1, k):
+        some = np.flatnonzero((period == 0) & (chars[at] == chars[at + d]) & (chars[at + k - 1 - d] == chars[at + k - 1]))
+        for part in np.array_split(some, len(some) // 4096 + 1):
+            i = at[part, None] + np.arange(k - d)
+            period[part[(chars[i] == chars[i + d]).all(axis=1)]] = d
+    return period
+
+
+def _reach(same: Callable[[int, int], np.ndarray], most: int) -> int:
+    """How many of the `most` comparisons in a row hold; same(i, j) makes those from i up to j."""
+    done, step = 0, 64
+    while done < most:
+        wrong = np.flatnonzero(~same(done, min(most, done + step)))
+        if len(wrong):
+            return done + int(wrong[0])
+        done, step = min(most, done + step), step * 2
+    return most
+
+
+def periodic_runs(arrays: list[np.ndarray], own: np.ndarray, at: np.ndarray, u: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """One of the chosen units for each periodic stretch: (text number, offset, hash, period, before, length).
+
+    The period is the smallest one under k of the unit itself, so it is the same wherever the unit occurs, and 0 where it
+    has none. The stretch begins `before` characters ahead of the unit, has `length` characters and is as long as its
+    text keeps the period. Units of one hash in one stretch lie at multiples of the period, so one stands for all.
+    """
+    lengths, out = np.array([len(a) for a in arrays], dtype=np.int64), []
+    for lo, hi in chunks(lengths):
+        mine = np.flatnonzero((own >= lo) & (own < hi))
+        if not len(mine):
+            continue
+        mine = mine[np.lexsort((at[mine], u[mine], own[mine]))]
+        chars, begins = np.concatenate(arrays[lo:hi]), np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
+        text, hashes = own[mine], u[mine]
+        place = begins[text - lo] + at[mine]
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        period = _periods(chars, place[first], k)[which]
+        before, length, keep = np.zeros(len(mine), np.int64), np.full(len(mine), k, np.int64), np.ones(len(mine), bool)
+        groups = np.append(np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))), len(mine))
+        for i, end in zip(groups[:-1], groups[1:], strict=True):
+            while period[i] and i < end:
+                x, p = int(place[i]), int(period[i])
+                start, stop = int(begins[text[i] - lo]), int(begins[text[i] - lo] + lengths[text[i]])
+                back = _reach(lambda f, t: chars[x - t : x - f][::-1] == chars[x - t + p : x - f + p][::-1], x - start)
+                on = _reach(lambda f, t: chars[x + k + f : x + k + t] == chars[x + k + f - p : x + k + t - p], stop - x - k)
+                before[i], length[i] = back, back + k + on
+                after = i + int(np.searchsorted(place[i:end], x + on, "right"))
+                keep[i + 1 : after] = False
+                if after == end:
+                    break
+                i = after
+        out.append((text[keep], at[mine][keep], hashes[keep], period[keep], before[keep], length[keep]))
+    none = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] + [np.empty(0, np.int64)] * 3
+    return tuple(np.concatenate(c) for c in zip(none, *out, strict=True))

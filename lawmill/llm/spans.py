@@ -3,7 +3,8 @@
 Units of text are hashed and their digests grouped over the whole corpus. A unit is a piece of UNIT characters whose
 place is chosen by content, not by line ends: a span of the wanted length always holds a whole unit, also where it
 begins and ends inside lines, which hashing lines cannot promise. Records that share a digest are compared character
-for character along the offset the digest suggests. Equal texts are one text throughout; copies join in at the end.
+for character along the offset the digest suggests. A unit inside a periodic stretch stands for all its repetitions
+there; then the offsets are those that the two stretches allow. Equal texts are one text throughout; copies join in at the end.
 """
 
 from __future__ import annotations
@@ -12,12 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lawmill.functions.text import wide_hash
-from lawmill.llm.grams import chosen_units, code_points
+from lawmill.llm.grams import chosen_units, code_points, periodic_runs
 from lawmill.session import spread, staged
 
 MIN_SPAN = 200
@@ -30,17 +31,35 @@ def _texts(df: DataFrame, doc: str, text: str, least: int) -> DataFrame:
 
 
 def units(texts: DataFrame, least: int = MIN_SPAN, unit: int = UNIT) -> DataFrame:
-    """Chosen units of each text: its hash t1, t2, the offset and the digest."""
+    """Chosen units of each text, one for each periodic stretch: its hash t1, t2, the offset and the digest, the unit's
+    period (0: none) and of the stretch the characters ahead of the unit and the length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, at, u = chosen_units([code_points(t) for t in b.column("text").to_pylist()], unit, least - unit + 1)
+            arrays = [code_points(t) for t in b.column("text").to_pylist()]
+            own, at, u, *stretch = periodic_runs(arrays, *chosen_units(arrays, unit, least - unit + 1), unit)
             take = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [b.column("t1").take(take), b.column("t2").take(take), pa.array(at.astype(np.int32)), pa.array(u.view(np.int64))], names=["t1", "t2", "at", "u"]
+                [b.column("t1").take(take), b.column("t2").take(take), pa.array(at.astype(np.int32)), pa.array(u.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in stretch)],
+                names=["t1", "t2", "at", "u", "period", "before", "length"],
             )
 
-    return spread(texts.select("t1", "t2", "text")).mapInArrow(run, "t1 long, t2 long, at int, u long")
+    return spread(texts.select("t1", "t2", "text")).mapInArrow(run, "t1 long, t2 long, at int, u long, period int, before int, length int")
+
+
+def _shifts(least: int) -> Column:
+    """The offsets to compare along where two stretches a and b of one unit meet.
+
+    Off the aligned begins and ends the equal characters are just where the stretches overlap. Of the offsets with an
+    overlap of `least` or more the outermost and those by whole periods within the shorter stretch cover all of it.
+    """
+    p, r = "a.period", "(a.at - b.at)"
+    begins, ends = f"({r} - a.before + b.before)", f"({r} - a.before + a.length + b.before - b.length)"
+    low, high = f"({begins} - b.length + {least})", f"({begins} + a.length - {least})"
+    first, last = f"({low} + pmod({r} - {low}, {p}))", f"({high} - pmod({high} - {r}, {p}))"
+    inside = f"case when least(a.length, b.length) >= {least} and {first} <= {last} then array_append(sequence({first}, {last}, {p} * int(least(a.length, b.length) div {p})), {last}) else array() end"
+    aligned = f"filter(array({begins}, {ends}), s -> pmod(s - {r}, {p}) = 0)"
+    return F.expr(f"case when {p} = 0 then array({r}) else array_distinct(concat({aligned}, {inside})) end")
 
 
 def _equal_runs(a: np.ndarray, b: np.ndarray, shift: int, least: int) -> list[tuple[int, int, int]]:
@@ -61,8 +80,8 @@ def text_spans(texts: DataFrame, least: int = MIN_SPAN, unit: int = UNIT) -> Dat
     shared = staged(found.join(seen.filter("x1 <> y1 or x2 <> y2").select("u"), "u", "left_semi").dropDuplicates(["u", "t1", "t2", "at"]), "shared")
     a, b = shared.alias("a"), shared.alias("b")
     before = (F.col("a.t1") < F.col("b.t1")) | ((F.col("a.t1") == F.col("b.t1")) & (F.col("a.t2") < F.col("b.t2")))
-    tries = a.join(b, (F.col("a.u") == F.col("b.u")) & before).select(
-        F.col("a.t1").alias("a1"), F.col("a.t2").alias("a2"), F.col("b.t1").alias("b1"), F.col("b.t2").alias("b2"), (F.col("a.at") - F.col("b.at")).alias("shift")
+    tries = a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.period") == F.col("b.period")) & before).select(
+        F.col("a.t1").alias("a1"), F.col("a.t2").alias("a2"), F.col("b.t1").alias("b1"), F.col("b.t2").alias("b2"), F.explode(_shifts(least)).alias("shift")
     ).distinct()
     whose = shared.select("t1", "t2").distinct()
     held = texts.join(whose, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))

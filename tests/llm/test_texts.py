@@ -66,6 +66,38 @@ def test_spans_against_brute_force(spark):
         spans.SharedSpans(docs(spark, rows), "doc_id", "text", 200, 300)
 
 
+def covered(rows, least):
+    """Characters of each record that lie in a run of `least` held by another record."""
+    at = {}
+    for i, t in rows:
+        for j in range(len(t) - least + 1):
+            at.setdefault(t[j : j + least], []).append((i, j))
+    held = {i: set() for i, _ in rows}
+    for places in at.values():
+        if len({i for i, _ in places}) > 1:
+            for i, j in places:
+                held[i].update(range(j, j + least))
+    return {i: len(x) for i, x in held.items()}
+
+
+def test_periodic_stretches_before_a_common_tail(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in range(40):
+        cell, tail = noise(rng, rng.choice([1, 1, 2, 3, 7, 31, 33, 50, 63])), noise(rng, rng.randrange(60, 199))
+        head = lambda: (cell * 900)[rng.randrange(len(cell)) :][: -rng.randrange(1, len(cell) + 1)]
+        long, short = head(), head()
+        rows += [(3 * n, noise(rng, 50) + long[-rng.randrange(200, 900) :] + tail + noise(rng, 150)), (3 * n + 1, noise(rng, 9) + short[-rng.randrange(20, 400) :] + tail + noise(rng, 150)),
+                 (3 * n + 2, noise(rng, 30) + cell * (rng.randrange(150, 700) // len(cell)) + noise(rng, 80))]
+    for n in range(20):  # the same cells on both sides, the stretch longer in one of them
+        cell, tail = noise(rng, rng.choice([1, 2, 5, 40])), noise(rng, rng.randrange(60, 199))
+        full = cell * 900
+        rows += [(500 + 2 * n, noise(rng, 50) + full[-rng.randrange(300, 900) :] + tail + noise(rng, 150)), (501 + 2 * n, noise(rng, 9) + full[-rng.randrange(100, 300) :] + tail + noise(rng, 150))]
+    s = spans.SharedSpans(docs(spark, rows), "doc_id", "text")
+    assert sorted(tuple(r) for r in s.pairs().collect()) == shared_pairs(rows, 200)
+    assert {r.doc_id: r.shared_chars for r in s.shares().collect()} == covered(rows, 200)
+
+
 def test_spans_of_nothing(spark):
     s = spans.SharedSpans(docs(spark, []), "doc_id", "text")
     assert s.pairs().count() == 0 and s.shares().count() == 0 and s.removals().count() == 0
