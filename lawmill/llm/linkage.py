@@ -1,6 +1,6 @@
 """Matching entities across sources without keys, by soft-logic linkage.
 
-Candidate pairs share a place, a piece of the title's head and, where both are dated, a stretch of time. Every pair is a
+Candidate pairs share a place and, where both are dated, a stretch of time. Every pair is a
 variable between 0 and 1; weighted rules on its similarities, the exclusivity of a record and the transitivity among
 records of one law become hinge losses of linear terms. The convex problem falls apart into the connected components
 of the candidates; tasks solve many components at once by alternating directions on consensus copies of the
@@ -37,6 +37,8 @@ _YEAR = r"[（(](\d{4})年?[^（()）]*[）)]$"
 #: Days beyond which two dates of promulgation do not stand for one; titles of a higher cost are no candidates.
 MOST_DAYS = 92
 MOST_COST = 2.8
+#: Lost, strange and doubled characters that MOST_COST allows.
+MOST_LOST, MOST_STRANGE, MOST_DOUBLED = 3, 2, 5
 #: Cost of a title that has all its characters, some out of place.
 MOVED = 1.0
 STRETCH = 96
@@ -106,26 +108,29 @@ def _core(title: str, place: str) -> tuple[Column, Column]:
     return F.coalesce(cut, F.col(title)), cut.isNotNull()
 
 
-def _grams(core: Column, n: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(n, F.length(core) - 1))), lambda i: F.substr(core, i, F.lit(2))))
+def _chars(c: Column) -> Column:
+    return F.array_distinct(F.split(c, ""))
 
 
 def candidates(law: DataFrame, rec: DataFrame) -> DataFrame:
-    """Pairs of equal place that share one of the title's first pairs of characters and, where the record is dated, a
-    neighbouring stretch of time. A law is listed under its stretch and, for undated records, without one."""
+    """Pairs of equal place and, where the record is dated, a neighbouring stretch of time, whatever their titles begin
+    with. Only titles are left out that no MOST_COST of errors can turn into each other: that lose over 3 characters or
+    have over 2 strange ones or 5 doubled ones. A law is listed under its stretch and, for undated records, without one."""
     lcore, _ = _core("title", "place")
     rcore, cut = _core("title", "place")
     law = law.withColumn("core", lcore)
     rec = rec.withColumn("core", rcore).withColumn("cut", cut)
     stretch = lambda c: F.floor(F.col(c) / STRETCH)
-    lk = law.withColumn("gram", F.explode(_grams(F.col("core"), F.lit(3)))).withColumn("slot", F.explode(F.array(F.lit(None).cast("long"), stretch("day"))))
-    rk = rec.withColumn("gram", F.explode(_grams(F.col("core"), F.when(F.col("cut"), 3).otherwise(9))))
-    rk = rk.withColumn("slot", F.explode(F.when(F.col("day").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(stretch("day") - 1, stretch("day"), stretch("day") + 1))))
-    lk = lk.select("place", "gram", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "file", F.col("core").alias("l_core"), F.col("day").alias("l_day"), "effs")
-    rk = rk.select("place", "gram", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "bbbs", F.col("core").alias("r_core"), "cut", F.col("day").alias("r_day"), "eff", "year")
+    lk = law.withColumn("slot", F.explode(F.array(F.lit(None).cast("long"), stretch("day"))))
+    rk = rec.withColumn("slot", F.explode(F.when(F.col("day").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(stretch("day") - 1, stretch("day"), stretch("day") + 1))))
+    lk = lk.select("place", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "file", F.col("core").alias("l_core"), F.col("day").alias("l_day"), "effs", _chars(F.col("core")).alias("l_chars"))
+    rk = rk.select("place", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "bbbs", F.col("core").alias("r_core"), "cut", F.col("day").alias("r_day"), "eff", "year", _chars(F.col("core")).alias("r_chars"))
     near = F.col("r_day").isNull() | (F.abs(F.col("r_day") - F.col("l_day")) <= MOST_DAYS)
-    alike = F.abs(F.length("r_core") - F.length("l_core")) <= 12
-    return lk.join(rk, ["place", "gram", "slot"]).filter(near & alike).dropDuplicates(["file", "bbbs"]).drop("gram", "slot")
+    head = F.when(F.col("cut"), F.lit("")).otherwise(fold(F.col("place")))
+    alike = (F.length("r_core") - F.length("l_core")).between(-MOST_LOST, F.length(head) + MOST_DOUBLED)
+    alike &= F.size(F.array_except("l_chars", "r_chars")) <= MOST_LOST
+    alike &= F.size(F.array_except("r_chars", F.concat("l_chars", _chars(head)))) <= MOST_STRANGE
+    return lk.join(rk, ["place", "slot"]).filter(near & alike).dropDuplicates(["file", "bbbs"]).drop("slot", "l_chars", "r_chars")
 
 
 def edit_costs(a: list[str], b: list[str]) -> np.ndarray:
@@ -172,7 +177,7 @@ def _similarities(pdf: pd.DataFrame) -> pd.DataFrame:
     for which, heads in ((np.ones(len(pdf), bool), None), (~cut, p), (~cut, s)):
         at = np.flatnonzero(which)
         true = [c[i] if heads is None else heads[i] + c[i] for i in at]
-        at = at[[abs(len(r[i]) - len(t)) <= 4 for i, t in zip(at, true, strict=True)]] if len(at) else at
+        at = at[[-MOST_LOST <= len(r[i]) - len(t) <= MOST_DOUBLED for i, t in zip(at, true, strict=True)]] if len(at) else at
         true = [c[i] if heads is None else heads[i] + c[i] for i in at]
         got = edit_costs([r[i] for i in at], true)
         for n in np.flatnonzero((got > MOVED) & (got <= MOST_COST)):  # a character that moved further than one place

@@ -35,6 +35,14 @@ def test_noise_is_bridged_and_others_stay_apart(spark):
     assert found(spark, rows) == sorted([("same", one), ("late", one), ("swap", one), ("trad", one), ("lost", one), ("moved", one), ("undated", "乙水市旅游促进条例_20150101.md")])
 
 
+def test_errors_at_the_head_of_a_title(spark):
+    base = [("甲山县食品安全管理办法", "2010-05-01", None), ("甲山县供水条例", "2010-05-01", None)]
+    rows = [("swapped", "甲山县食安品全管理办法", "甲山县", "2010-05-01", None), ("two", "甲山县品食全安管理办法", "甲山县", "2010-05-01", None), ("twice", "甲山县食食品安安全管理办法", "甲山县", "2010-05-01", None),
+            ("short", "甲山县水供例条", "甲山县", "2010-05-01", None), ("none", "品食全安管理办法", "甲山县", None, None), ("far", "甲山县品食全安管理办法", "甲山县", "2011-05-01", None)]
+    one, two = "甲山县食品安全管理办法_20100501.md", "甲山县供水条例_20100501.md"
+    assert found(spark, rows, base) == sorted([("swapped", one), ("two", one), ("twice", one), ("short", two), ("none", one)])
+
+
 def test_empty_tables(spark):
     assert found(spark, []) == [] and found(spark, [("a", "甲山县供水管理办法", "甲山县", "2010-05-01", None)], []) == []
 
