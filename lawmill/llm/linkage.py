@@ -115,17 +115,19 @@ def _chars(c: Column) -> Column:
 def candidates(law: DataFrame, rec: DataFrame) -> DataFrame:
     """Pairs of equal place and, where the record is dated, a neighbouring stretch of time, whatever their titles begin
     with. Only titles are left out that no MOST_COST of errors can turn into each other: that lose over 3 characters or
-    have over 2 strange ones or 5 doubled ones. A law is listed under its stretch and, for undated records, without one."""
+    have over 2 strange ones or 5 doubled ones. A law is listed under its stretch and, for undated records, without one; a law without a day meets all records of
+    its place."""
     lcore, _ = _core("title", "place")
     rcore, cut = _core("title", "place")
     law = law.withColumn("core", lcore)
     rec = rec.withColumn("core", rcore).withColumn("cut", cut)
     stretch = lambda c: F.floor(F.col(c) / STRETCH)
-    lk = law.withColumn("slot", F.explode(F.array(F.lit(None).cast("long"), stretch("day"))))
-    rk = rec.withColumn("slot", F.explode(F.when(F.col("day").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(stretch("day") - 1, stretch("day"), stretch("day") + 1))))
-    lk = lk.select("place", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "file", F.col("core").alias("l_core"), F.col("day").alias("l_day"), "effs", _chars(F.col("core")).alias("l_chars"))
-    rk = rk.select("place", F.coalesce("slot", F.lit(-(2**40))).alias("slot"), "bbbs", F.col("core").alias("r_core"), "cut", F.col("day").alias("r_day"), "eff", "year", _chars(F.col("core")).alias("r_chars"))
-    near = F.col("r_day").isNull() | (F.abs(F.col("r_day") - F.col("l_day")) <= MOST_DAYS)
+    undated, unknown = F.lit(-(2**40)), F.lit(-(2**41))  # slots of records and of laws without a day
+    lk = law.withColumn("slot", F.explode(F.array(undated, F.coalesce(stretch("day"), unknown))))
+    rk = rec.withColumn("slot", F.explode(F.when(F.col("day").isNull(), F.array(undated)).otherwise(F.array(stretch("day") - 1, stretch("day"), stretch("day") + 1, unknown))))
+    lk = lk.select("place", "slot", "file", F.col("core").alias("l_core"), F.col("day").alias("l_day"), "effs", _chars(F.col("core")).alias("l_chars"))
+    rk = rk.select("place", "slot", "bbbs", F.col("core").alias("r_core"), "cut", F.col("day").alias("r_day"), "eff", "year", _chars(F.col("core")).alias("r_chars"))
+    near = F.col("r_day").isNull() | F.col("l_day").isNull() | (F.abs(F.col("r_day") - F.col("l_day")) <= MOST_DAYS)
     head = F.when(F.col("cut"), F.lit("")).otherwise(fold(F.col("place")))
     alike = (F.length("r_core") - F.length("l_core")).between(-MOST_LOST, F.length(head) + MOST_DOUBLED)
     alike &= F.size(F.array_except("l_chars", "r_chars")) <= MOST_LOST
@@ -189,8 +191,9 @@ def _similarities(pdf: pd.DataFrame) -> pd.DataFrame:
     guess = np.full(len(pdf), 0.8)
     for i in np.flatnonzero(np.isnan(gap)):
         eff, effs, year, day = pdf["eff"].iat[i], pdf["effs"].iat[i], pdf["year"].iat[i], pdf["l_day"].iat[i]
+        effs, own = [] if effs is None else [e for e in effs if e is not None], pdf["r_day"].iat[i]
         if not pd.isna(eff):
-            off = min((abs(eff - e) for e in effs if e is not None), default=None) if effs is not None else None
+            off = min((abs(eff - e) for e in effs), default=None)
             later = None if pd.isna(day) else eff - day
             if off is not None and off <= 3:
                 guess[i] = 0.95
@@ -198,6 +201,8 @@ def _similarities(pdf: pd.DataFrame) -> pd.DataFrame:
                 guess[i] = 0.85 if -3 <= later <= 200 else 0.2
             elif off is not None:
                 guess[i] = 0.7 if off <= 120 else 0.2
+        elif not pd.isna(own) and effs:  # the law has no day
+            guess[i] = 0.85 if any(-3 <= e - own <= 200 for e in effs) else 0.2
         elif not pd.isna(year) and not pd.isna(day):
             known = (np.datetime64("1970-01-01") + np.timedelta64(int(day), "D")).astype("datetime64[Y]").astype(int) + 1970
             guess[i] = 0.9 if known == year else 0.8 if abs(known - year) == 1 else 0.2

@@ -43,6 +43,14 @@ def test_errors_at_the_head_of_a_title(spark):
     assert found(spark, rows, base) == sorted([("swapped", one), ("two", one), ("twice", one), ("short", two), ("none", one)])
 
 
+def test_a_law_without_a_day_meets_dated_records(spark):
+    base = [("甲山县供水管理办法", "", "2010-07-01"), ("甲山县旅游促进条例", "", None), ("甲山县殡葬管理规定", "", "2010-07-01")]
+    rows = [("eff", "甲山县供水管理办法", "甲山县", "2010-05-01", "2010-07-01"), ("plain", "甲山县旅游促进条例", "甲山县", "2015-01-01", None), ("day", "甲山县殡葬管理规定", "甲山县", "2010-05-01", None),
+            ("late", "甲山县殡葬管理规定", "甲山县", "2016-05-01", None), ("undated", "甲山县供水管理办法", "甲山县", None, "2010-07-01")]
+    water, tour, burial = "甲山县供水管理办法_.md", "甲山县旅游促进条例_.md", "甲山县殡葬管理规定_.md"
+    assert found(spark, rows, base) == sorted([("eff", water), ("plain", tour), ("day", burial), ("undated", water)])
+
+
 def test_empty_tables(spark):
     assert found(spark, []) == [] and found(spark, [("a", "甲山县供水管理办法", "甲山县", "2010-05-01", None)], []) == []
 
