@@ -9,6 +9,7 @@ variables. A variable's value is the confidence of its pair.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,8 @@ MOST_COST = 2.8
 MOST_LOST, MOST_STRANGE, MOST_DOUBLED = 3, 2, 5
 #: Cost of a title that has all its characters, some out of place.
 MOVED = 1.0
+#: What edit_costs counts for a lost and a doubled character, and for one that moved far: lost here and strange there.
+LOST, DOUBLED, FAR = 0.9, 0.5, 2.1
 STRETCH = 96
 #: Candidate pairs that one call solves, in whole components.
 PAIRS_AT_ONCE = 50_000
@@ -170,6 +173,19 @@ def edit_costs(a: list[str], b: list[str]) -> np.ndarray:
     return np.round(cube[la, lb, np.arange(n)], 3)
 
 
+def _moved_cost(a: str, b: str, cost: float) -> float:
+    """The cost of a as noise of b, where it can be a character moved further than one place: alone, or beside one that
+    was lost or doubled, which counts as its own small error."""
+    lost, strange = Counter(b) - Counter(a), Counter(a) - Counter(b)
+    if not lost and not strange:
+        return MOVED if cost <= MOST_COST else cost
+    if not strange and lost.total() == 1:
+        return min(cost, MOVED + LOST)
+    if not lost and strange.total() == 1 and 2 * next(iter(strange)) in a and cost <= FAR + DOUBLED + 1e-3:
+        return min(cost, MOVED + DOUBLED)
+    return cost
+
+
 def _similarities(pdf: pd.DataFrame) -> pd.DataFrame:
     """title and date similarity of candidate pairs."""
     cost = np.full(len(pdf), np.inf)
@@ -182,9 +198,8 @@ def _similarities(pdf: pd.DataFrame) -> pd.DataFrame:
         at = at[[-MOST_LOST <= len(r[i]) - len(t) <= MOST_DOUBLED for i, t in zip(at, true, strict=True)]] if len(at) else at
         true = [c[i] if heads is None else heads[i] + c[i] for i in at]
         got = edit_costs([r[i] for i in at], true)
-        for n in np.flatnonzero((got > MOVED) & (got <= MOST_COST)):  # a character that moved further than one place
-            if sorted(r[at[n]]) == sorted(true[n]):
-                got[n] = MOVED
+        for n in np.flatnonzero((got > MOVED) & (got <= FAR + LOST + 1e-3)):  # a character that moved further than one place
+            got[n] = _moved_cost(r[at[n]], true[n], got[n])
         cost[at] = np.minimum(cost[at], got)
     gap = np.abs(pdf["r_day"] - pdf["l_day"]).to_numpy(dtype=float)
     dated = np.clip(1 - np.maximum(0, gap - 3) / 180, 0, 1)

@@ -51,6 +51,12 @@ def test_a_law_without_a_day_meets_dated_records(spark):
     assert found(spark, rows, base) == sorted([("eff", water), ("plain", tour), ("day", burial), ("undated", water)])
 
 
+def test_a_moved_character_beside_a_lost_or_doubled_one(spark):
+    base = [("沐石坳县文物促进规定", "2002-11-06", None), ("沐石坳县旅游管理办法", "2002-11-06", None), ("沐石坳县供水设施保护办法", "2002-11-06", None)]
+    rows = [("lost", "沐石坳县文物促定进", "沐石坳县", "2002-11-06", None), ("doubled", "沐石坳县旅游游理办管法", "沐石坳县", "2002-11-06", None), ("wrong", "沐石坳县供电设施养护规定", "沐石坳县", "2002-11-06", None)]
+    assert found(spark, rows, base) == [("doubled", "沐石坳县旅游管理办法_20021106.md"), ("lost", "沐石坳县文物促进规定_20021106.md")]
+
+
 def test_empty_tables(spark):
     assert found(spark, []) == [] and found(spark, [("a", "甲山县供水管理办法", "甲山县", "2010-05-01", None)], []) == []
 
