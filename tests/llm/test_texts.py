@@ -145,6 +145,18 @@ def test_edits(spark):
     assert leaks.least_edits(grams.code_points("abcd"), grams.code_points("xxabdxx")) == 1
 
 
+def test_near_leaks_have_up_to_two_edits(spark, tmp_path):
+    from lawmill.llm import queries
+
+    rng = random.Random(9)
+    q = [noise(rng, 40) for _ in range(20)]
+    spark.createDataFrame([(i, x, None, "d", "r") for i, x in enumerate(q)], ITEMS).write.parquet(f"{tmp_path}/eval_queries.parquet")
+    rows = [(i, noise(rng, rng.randrange(30)) + x[:13] + "甲" + x[14:26] + "乙" + x[27:] + noise(rng, 30)) for i, x in enumerate(q)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in queries.p7_near(spark, str(tmp_path)).collect()}
+    assert len(got) >= 16 and all(a == b for a, b in got)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     rng = random.Random(6)
     q = [noise(rng, 50) for _ in range(6)]
