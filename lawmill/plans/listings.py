@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lawmill.functions import titles
-from lawmill.functions.text import plain_title
+from lawmill.functions import structure, titles
+from lawmill.functions.text import BLANK, plain_title, stripped
 from lawmill.operators import bm25 as B
 from lawmill.operators import listing
 from lawmill.operators.segments import ARTICLE, LINE_END
@@ -80,6 +80,12 @@ def document_counts(spark: SparkSession, d: str) -> DataFrame:
                     F.aggregate("l", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
 
 
+def structure_heads(spark: SparkSession, d: str) -> DataFrame:
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), LINE_END), lambda x: stripped(F.regexp_replace(x, "^#+ ", "")))
+    t = spread(table(spark, d, "documents").select("doc_id", "title", F.filter(lines, lambda x: x != "").alias("paras")))
+    return structure.document_heads(t, "paras", "title").select("doc_id", "head.title", "head.history", "head.article_count", "head.chapter_count")
+
+
 def title_flags(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "check_updates").select(plain_title(F.col("title")).alias("title")).filter("title is not null").distinct()
     return t.select("title", F.col("title").rlike(titles.DECISION).alias("decision"), F.col("title").rlike(titles.VOID).alias("void"), F.col("title").rlike("修正文本|修正案").alias("amended"), F.col("title").rlike("(?:条例|办法|规定|细则)$").alias("instrument"))
@@ -113,7 +119,7 @@ def rewrite_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    law_filter, metadata_search, manifest_counts, manifest_order, index_lines, embedding_input, vectors_pending, expansions_added, term_diagnostics, search_view, document_counts,
+    law_filter, metadata_search, manifest_counts, manifest_order, index_lines, embedding_input, vectors_pending, expansions_added, term_diagnostics, search_view, document_counts, structure_heads,
     title_flags, download_queue, cache_fresh, merged_parts, supplement_match, rewrite_lists,
 )}
 
@@ -122,7 +128,45 @@ _PLAIN = r"nullif(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '[\s
 _HAN = r"regexp_replace(coalesce(title, ''), '[^\x{4e00}-\x{9fff}]', '', 'g')"
 _PARTS = ["第一条", "第二条", "第三条"]
 
+_trim = lambda c: rf"regexp_replace({c}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+|[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+$', '', 'g')"
+_tight = lambda c: rf"regexp_replace({c}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\pZ]+', '', 'g')"
+_S = structure
+
+
+def _re(pattern: str) -> str:
+    """A pattern of Spark as DuckDB reads it."""
+    return pattern.replace(BLANK, r"\s\x{1c}-\x{1f}\x{85}\pZ")
+
+
+def _heads_sql() -> str:
+    has = lambda x, p: f"regexp_matches({x}, '{_re(p)}')"
+    is_title = lambda x: f"regexp_matches({x}, '{_re(_S.TITLED)}')"
+    head = f"""case when {is_title('x')} and not coalesce({is_title('before')}, false) then 't' when {has('x', _S.NOTE)} and not {has('x', _S.LIST_MARK)} then 'b' when {has('x', _S.NUMBER)} then 'n'
+      when {has('x', '|'.join(_S.MASTHEAD))} or (whole <> '' and {_tight('x')} = whole) then 'm' else 'x' end"""
+    body = f"""case when {has('x', _S.CONTENTS)} then 'c' when {has('x', _S.HEADING)} then 'h' when {has('x', _S.ARTICLE)} then 'a' when {_tight('x')} in ({', '.join(f"'{p}'" for p in _S.PREFACES)}) then 'f'
+      when x <> '' and length(x) <= {_S.SHORT_ENTRY} then 's' else 'p' end"""
+    return rf"""with raw as (select doc_id, {_tight("coalesce(title, '')")} as whole, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
+        lambda x: {_trim("regexp_replace(x, '^#+ ', '')")}), lambda x: x <> '') as p from documents),
+      lines as (select doc_id, whole, generate_subscripts(p, 1) as i, unnest(p) as x from raw),
+      seen as (select *, lag(x) over (partition by doc_id order by i) as before, string_agg({_tight('x')}, '') over (partition by doc_id order by i rows unbounded preceding) as so_far from lines),
+      letters as (select doc_id, i, x, {head} as h, {has('x', _S.CLOSED)} as closed, {body} as b, starts_with(whole, so_far) as goes_on from seen),
+      words as (select doc_id, string_agg(case when closed then upper(h) else h end, '' order by i) as head, string_agg(b, '' order by i) as body, list(x order by i) as p,
+                       coalesce(min(i) filter (i > 1 and not goes_on), 1000000000) as stops, count(*) as n from letters group by doc_id),
+      a as (select *, case when stops = 2 or n < 2 then 1 else least(stops - 1, {_S.TITLE_LINES}, n) end::int as used from words),
+      c as (select *, strpos(substr(left(body, {_S.CONTENTS_WITHIN}), used + 1), 'c') as mark from a),
+      z as (select *, case when mark > 0 then substr(head, used + 1, mark - 1) else regexp_extract(substr(head, used + 1, {_S.HEAD_LINES}), '^{_S.HEAD}') end as zone from c),
+      o as (select *, used + length(zone) + case when mark > 0 then 1 else 0 end as first, strpos(zone, nullif(regexp_extract(zone, '{_S.NOTES}'), '')) as note_at, length(regexp_extract(zone, '{_S.NOTES}')) as note from z),
+      r as (select *, substr(body, first + 1) as rest, length(case when mark > 0 then regexp_extract(substr(body, first + 1), '{_S.ENTRIES}') when regexp_matches(substr(body, first + 1), '^h{{{_S.BARE_CONTENTS}}}') then regexp_extract(substr(body, first + 1), '{_S.BARE_ENTRIES}') else '' end) as run from o),
+      e as (select *, first + nullif(strpos(left(rest, run), 'h'), 0) as entry from r),
+      f as (select *, entry + nullif(list_position(list_transform(p[entry + 1:], lambda x: {_tight('x')}), {_tight('p[entry]')}), 0) as again from e),
+      g as (select *, greatest(1, case when mark > 0 or run > 0 then least(first + run, coalesce(again - 1, 1000000000), coalesce(first + nullif(strpos(rest, 'a'), 0) - 1, 1000000000)) else first end) as begin from f)
+      select d.doc_id, coalesce(p[1], '') as title, coalesce(case when note_at > 0 then array_to_string(list_transform(p[used + note_at:used + note_at + note - 1], lambda x: {_trim('x')}), ' ') end, '') as history,
+             coalesce(length(regexp_replace(substr(body, begin + 1), '[^a]', '', 'g')), 0)::int as article_count, coalesce(length(regexp_replace(substr(body, begin + 1), '[^h]', '', 'g')), 0)::int as chapter_count
+      from documents d left join g on d.doc_id = g.doc_id"""
+
+
 SQL = {
+    "structure_heads": _heads_sql(),
     "law_filter": f"with {LAWS_SQL} select file, title, category, layer from laws where coalesce(trim(layer, ' '), 'current') in ('current', 'historical') and contains(title, '保护') and contains(category, '条例')",
     "metadata_search": f"with {LAWS_SQL} select file, title, category, issuer from laws where contains(concat_ws(' ', coalesce(title, ''), coalesce(category, ''), coalesce(issuer, '')), '管理') and contains(concat_ws(' ', coalesce(title, ''), coalesce(category, ''), coalesce(issuer, '')), '人民政府')",
     "manifest_counts": f"with {LAWS_SQL} " + " union all ".join(f"select '{c}' as by, coalesce(trim({c}, ' '), '') as value, count(*) as n from laws group by 2" for c in ("layer", "status", "source")),

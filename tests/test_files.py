@@ -3,7 +3,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from lawmill.functions.structure import parse, structure
+from lawmill.functions.structure import document_heads
 from lawmill.sources import files
 from lawmill.streaming.ingest import event_windows, ingest_available
 
@@ -28,18 +28,21 @@ def test_archives_and_docx(spark, tmp_path):
     assert got == {"甲_20200101.DOCX": (".docx", ["第一条 a&b", "第二条 x"]), "bad.docx": (".docx", None)}
 
 
-def test_structure(spark):
-    head = parse(["某法", "实施条例", "（2019年4月1日会议", "通过）", "中华人民共和国国务院令第 5 号", "目　录", "序言", "第一章 总则", "序言", "为了" * 20, "第一章 总则", "第一条 甲"], "某法实施条例")
-    assert head["history"] == "（2019年4月1日会议 通过）" and head["doc_number"] == "中华人民共和国国务院令第 5 号" and head["body"][0] == "序言" and head["article_count"] == 1
-    prose = parse(["关于修改的决定", "一、增加一款（法释〔2015〕11号）如下：", "二、删去"], "关于修改的决定")
-    assert prose["body"] == ["一、增加一款（法释〔2015〕11号）如下：", "二、删去"] and prose["doc_number"] == ""
-    bare = parse(["规则", *[f"第{n}章 x{n}" for n in "一二三四五"], "第一章 x一", "第一条 甲"], "规则")
-    assert bare["body"] == ["第一章 x一", "第一条 甲"]
-    marker = parse(["规定", "(一) 保护是", "第一条 乙"], "规定")
-    assert marker["body"][0] == "(一) 保护是" and marker["history"] == ""
-    assert parse([])["body"] == [] and parse(None)["title"] == ""
-    df = spark.createDataFrame([(["甲", "第一条 乙"], "甲"), (None, None)], "p array<string>, t string").select(structure("p", "t").alias("s"))
-    assert [r.s.article_count for r in df.collect()] == [1, 0]
+def test_document_heads(spark):
+    cases = {
+        "marked": (["某法", "实施条例", "（2019年4月1日会议", "通过）", "中华人民共和国国务院令第 5 号", "目　录", "序言", "第一章 总则", "序言", "为了" * 20, "第一章 总则", "第一条 甲"], "某法实施条例"),
+        "prose": (["关于修改的决定", "一、增加一款（法释〔2015〕11号）如下：", "二、删去"], "关于修改的决定"), "bare": (["规则", *[f"第{n}章 x{n}" for n in "一二三四五"], "第一章 x一", "第一条 甲"], "规则"),
+        "four": (["规则", *[f"第{n}章 x{n}" for n in "一二三四"], "第一条 甲"], "规则"), "mark": (["规定", "(一) 保护是", "第一条 乙"], "规定"), "court": (["解释", "公 告", "最高人民法院", "法释〔2015〕11号", "2015年1月1日", "第一条 乙"], None),
+        "none": ([], "甲"), "null": (None, None), "nulls": ([None, "第一条 乙", None], ""),
+    }
+    df = spark.createDataFrame([(k, p, t, "x") for k, (p, t) in cases.items()], "id string, p array<string>, `a.b` string, title string").withColumnRenamed("a.b", "name")
+    got = {r.id: r["head"] for r in document_heads(df, "p", "name").collect()}
+    h = got["marked"]
+    assert h.history == "（2019年4月1日会议 通过）" and h.doc_number == "中华人民共和国国务院令第 5 号" and h.body[0] == "序言" and (h.article_count, h.chapter_count) == (1, 1)
+    assert got["prose"].body == cases["prose"][0][1:] and got["prose"].doc_number == "" and got["bare"].body == ["第一章 x一", "第一条 甲"] and len(got["four"].body) == 5
+    assert got["mark"].body[0] == "(一) 保护是" and got["mark"].history == "" and got["court"].body == ["第一条 乙"] and got["court"].doc_number == "法释〔2015〕11号"
+    assert got["none"].body == [] and got["null"].title == "" and got["nulls"].title == "" and got["nulls"].article_count == 1
+    assert document_heads(df.limit(0), "p", "name").count() == 0
 
 
 def test_markdown_manifest_jsonl(spark, tmp_path, rows):
