@@ -1,15 +1,19 @@
-"""Numpy routines on batches of texts: code points, rolling hashes, and units chosen by content."""
+"""Numpy routines on texts: code points, rolling hashes, and the seeds of windows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from dataclasses import dataclass
 
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Characters handled in one go: positions take 24 bits beside 40 bits of hash.
+#: Window positions handled in one go: they take 24 bits beside 40 bits of hash.
 CHUNK = 1 << 21
+#: Characters that end a unit, and how short a unit may be.
+UNIT_END = re.compile("[\n\r\u2028\u2029。；！？.;!?]")
+LEAST_UNIT = 10
 
 
 def code_points(text: str) -> np.ndarray:
@@ -23,16 +27,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@dataclass
+class Hasher:
+    """64-bit hashes of any stretches of one text, by prefix sums of a polynomial modulo 2**64."""
+
+    sums: np.ndarray
+    down: np.ndarray
+
+    @classmethod
+    def of(cls, chars: np.ndarray, seed: int = 1) -> Hasher:
+        n = len(chars)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(mix(chars.astype(np.uint64) + np.uint64(seed)) * np.cumprod(np.full(n, _BASE)), out=sums[1:])
+        return cls(sums, np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, _BACK))]))
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+
+    def rolling(self, k: int) -> np.ndarray:
+        n = len(self.sums) - 1
+        return mix((self.sums[k:] - self.sums[: n - k + 1]) * self.down[: n - k + 1]) if n >= k else np.empty(0, dtype=np.uint64)
+
+
 def rolling(chars: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each window of k characters, by prefix sums of a polynomial modulo 2**64."""
-    n = len(chars)
-    if n < k:
-        return np.empty(0, dtype=np.uint64)
-    up = np.cumprod(np.full(n, _BASE))
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(mix(chars.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
-    down = np.cumprod(np.full(n - k + 1, _BACK))
-    return mix((sums[k:] - sums[:-k]) * down)
+    """A hash of each window of k characters."""
+    return Hasher.of(chars).rolling(k)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -44,107 +63,48 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
-def chunks(lengths: np.ndarray, size: int = CHUNK) -> list[tuple[int, int]]:
-    """Ranges of neighbouring texts of about size characters in all; a longer text is a range of its own."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(lengths):
-        if i > start and total + n > size:
-            out.append((start, i))
-            start, total = i, 0
-        total += int(n)
-    if start < len(lengths):
-        out.append((start, len(lengths)))
-    return out
+def units(text: str, least: int = LEAST_UNIT) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the lines and sentences of a text, without blanks at their ends and without the closing sign, from
+    `least` characters on."""
+    ends = [m.start() for m in UNIT_END.finditer(text)]
+    begin, end = [], []
+    for a, b in zip([0, *(e + 1 for e in ends)], [*ends, len(text)], strict=True):
+        s = text[a:b]
+        a, b = a + len(s) - len(s.lstrip()), b - len(s) + len(s.rstrip())
+        if b - a >= least:
+            begin.append(a)
+            end.append(b)
+    return np.array(begin, dtype=np.int64), np.array(end, dtype=np.int64)
 
 
-def chosen_units(arrays: list[np.ndarray], k: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of k characters chosen by their content alone: (text number, offset, hash).
+def window_seeds(text: str, chars: np.ndarray, window: int, piece: int) -> np.ndarray:
+    """For each window of a text a 64-bit seed that depends on the characters of the window alone.
 
-    In any w neighbouring windows of k characters at least the one of the smallest hash is chosen, the leftmost on a
-    tie. So any stretch of w + k - 1 characters holds a chosen unit, and the same one wherever the stretch occurs.
+    It is the smallest hash of the units that lie in the window together with the signs that part them from their
+    neighbours, so that they are units wherever the window occurs. A window without a whole unit takes the smallest hash of
+    its pieces of `piece` characters. Neighbouring windows mostly agree, so a text has few seeds.
     """
-    pieces = [(i, lo, a[lo : lo + CHUNK + k + w - 2]) for i, a in enumerate(arrays) for lo in range(0, max(1, len(a) - k - w + 2), CHUNK)]
-    lengths = np.array([len(a) for _, _, a in pieces], dtype=np.int64)
-    texts, offsets, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-    low = np.uint64((1 << 24) - 1)
-    for lo, hi in chunks(lengths):
-        chars = np.concatenate([a for _, _, a in pieces[lo:hi]])
-        if len(chars) < k + w - 1:
-            continue
-        h = rolling(chars, k)
-        first = sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), w)
-        begins = np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
-        piece = np.repeat(np.arange(hi - lo), lengths[lo:hi])
-        inside = piece[: len(first)] == piece[k + w - 2 : k + w - 2 + len(first)]
-        at = np.unique(first[inside] & low).astype(np.int64)
-        own = piece[at]
-        texts.append(np.array([i for i, _, _ in pieces[lo:hi]], dtype=np.int64)[own])
-        offsets.append(at - begins[own] + np.array([b for _, b, _ in pieces[lo:hi]], dtype=np.int64)[own])
-        hashes.append(h[at])
-    own, at, u = np.concatenate(texts), np.concatenate(offsets), np.concatenate(hashes)
-    if len(at) > 1:  # where pieces of one text overlap a unit is found twice
-        order = np.lexsort((at, own))
-        own, at, u = own[order], at[order], u[order]
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (at[1:] != at[:-1])
-        own, at, u = own[new], at[new], u[new]
-    return own, at, u
-
-
-def _periods(chars: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """The smallest period under k of the k characters at each place, 0 where there is none."""
-    period = np.zeros(len(at), dtype=np.int64)
-    for d in range(1, k):
-        some = np.flatnonzero((period == 0) & (chars[at] == chars[at + d]) & (chars[at + k - 1 - d] == chars[at + k - 1]))
-        for part in np.array_split(some, len(some) // 4096 + 1):
-            i = at[part, None] + np.arange(k - d)
-            period[part[(chars[i] == chars[i + d]).all(axis=1)]] = d
-    return period
-
-
-def _reach(same: Callable[[int, int], np.ndarray], most: int) -> int:
-    """How many of the `most` comparisons in a row hold; same(i, j) makes those from i up to j."""
-    done, step = 0, 64
-    while done < most:
-        wrong = np.flatnonzero(~same(done, min(most, done + step)))
-        if len(wrong):
-            return done + int(wrong[0])
-        done, step = min(most, done + step), step * 2
-    return most
-
-
-def periodic_runs(arrays: list[np.ndarray], own: np.ndarray, at: np.ndarray, u: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """One of the chosen units for each periodic stretch: (text number, offset, hash, period, before, length).
-
-    The period is the smallest one under k of the unit itself, so it is the same wherever the unit occurs, and 0 where it
-    has none. The stretch begins `before` characters ahead of the unit, has `length` characters and is as long as its
-    text keeps the period. Units of one hash in one stretch lie at multiples of the period, so one stands for all.
-    """
-    lengths, out = np.array([len(a) for a in arrays], dtype=np.int64), []
-    for lo, hi in chunks(lengths):
-        mine = np.flatnonzero((own >= lo) & (own < hi))
-        if not len(mine):
-            continue
-        mine = mine[np.lexsort((at[mine], u[mine], own[mine]))]
-        chars, begins = np.concatenate(arrays[lo:hi]), np.cumsum(lengths[lo:hi]) - lengths[lo:hi]
-        text, hashes = own[mine], u[mine]
-        place = begins[text - lo] + at[mine]
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        period = _periods(chars, place[first], k)[which]
-        before, length, keep = np.zeros(len(mine), np.int64), np.full(len(mine), k, np.int64), np.ones(len(mine), bool)
-        groups = np.append(np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1]))), len(mine))
-        for i, end in zip(groups[:-1], groups[1:], strict=True):
-            while period[i] and i < end:
-                x, p = int(place[i]), int(period[i])
-                start, stop = int(begins[text[i] - lo]), int(begins[text[i] - lo] + lengths[text[i]])
-                back = _reach(lambda f, t: chars[x - t : x - f][::-1] == chars[x - t + p : x - f + p][::-1], x - start)
-                on = _reach(lambda f, t: chars[x + k + f : x + k + t] == chars[x + k + f - p : x + k + t - p], stop - x - k)
-                before[i], length[i] = back, back + k + on
-                after = i + int(np.searchsorted(place[i:end], x + on, "right"))
-                keep[i + 1 : after] = False
-                if after == end:
-                    break
-                i = after
-        out.append((text[keep], at[mine][keep], hashes[keep], period[keep], before[keep], length[keep]))
-    none = [np.empty(0, np.int64)] * 2 + [np.empty(0, np.uint64)] + [np.empty(0, np.int64)] * 3
-    return tuple(np.concatenate(c) for c in zip(none, *out, strict=True))
+    n = len(chars) - window + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    hashes = Hasher.of(chars)
+    seeds, covered = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool)
+    cut = np.array([-1, *(m.start() for m in UNIT_END.finditer(text)), len(chars)], dtype=np.int64)
+    begin, end = units(text)
+    left, right = cut[np.searchsorted(cut, begin, "right") - 1], cut[np.searchsorted(cut, end)]
+    own = hashes.between(begin, end)
+    first, last = np.maximum(0, right + 1 - window), np.minimum(left, n - 1)  # windows that hold the signs at left and right
+    fit = np.flatnonzero((left >= 0) & (right < len(chars)) & (first <= last))
+    for i in fit[np.argsort(own[fit])[::-1]]:  # the smallest hash is painted last
+        seeds[first[i] : last[i] + 1] = own[i]
+        covered[first[i] : last[i] + 1] = True
+    bare = np.flatnonzero(np.diff(np.concatenate([[True], covered, [True]]).astype(np.int8)))
+    low, wide = np.uint64((1 << 24) - 1), window - piece + 1
+    h = hashes.rolling(piece) if len(bare) else None
+    for a, b in zip(bare[::2], bare[1::2], strict=True):
+        for lo in range(int(a), int(b), CHUNK):
+            hi = min(int(b), lo + CHUNK)
+            part = h[lo : hi + wide - 1]
+            at = sliding_min((part & ~low) | np.arange(len(part), dtype=np.uint64), wide) & low
+            seeds[lo:hi] = mix(part[at.astype(np.int64)])  # mixed again: a piece is no unit
+    return seeds

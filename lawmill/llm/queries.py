@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lawmill.llm import leaks, linkage, lookalike, neighbors, packing, spans
+from lawmill.llm import grams, leaks, linkage, lookalike, neighbors, packing, spans
 from lawmill.session import staged, table
 
 
@@ -95,6 +95,10 @@ def p8_removals(spark: SparkSession, d: str) -> DataFrame:
     return _spans(spark, d).removals()
 
 
+def p8_units(spark: SparkSession, d: str) -> DataFrame:
+    return spans.repeated_units(table(spark, d, "documents"), "doc_id", "text")
+
+
 _FORMS_CTE = f"""
 with rows as (
   select 'audit_state.body' as field, row_id as id, '' as scope, body as raw from audit_state where body is not null
@@ -119,8 +123,10 @@ _SPANS_SQL = """
 grams as (select doc_id, i, hash(substr(text, i, 200)) as g from (select doc_id, text, unnest(range(1, length(text) - 198)) as i from documents where length(text) >= 200)),
 shared as (select g from grams group by g having min(doc_id) <> max(doc_id)),
 held as (select g.doc_id, g.i, g.g from grams g join shared s on g.g = s.g)"""
+_STRIPPED = r"regexp_replace(x, '^[\s\x{1c}-\x{1f}\x{85}\pZ]+|[\s\x{1c}-\x{1f}\x{85}\pZ]+$', '', 'g')"
+_LEFT = r"length(regexp_extract(x, '^[\s\x{1c}-\x{1f}\x{85}\pZ]*'))"
 
-QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals, "p8_units": p8_units}
 SQL = {
     "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
     "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
@@ -130,7 +136,15 @@ SQL = {
     "p8_found": f"with {_SPANS_SQL} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b on a.g = b.g and a.doc_id < b.doc_id",
     "p8_shares": f"""with {_SPANS_SQL},
       covered as (select doc_id, sum(least(200, coalesce(after - i, 200))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as after from (select distinct doc_id, i from held)) group by doc_id),
-      partners as (select a.doc_id, count(distinct b.doc_id) as n from held a join held b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id)
-      select d.doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c.n, 0)::bigint as shared_chars, case when length(text) > 0 then coalesce(c.n, 0) / length(text) else 0.0 end::double as share, coalesce(p.n, 0) as held_by
-      from documents d left join covered c on d.doc_id = c.doc_id left join partners p on d.doc_id = p.doc_id""",
+      holders as (select g, count(distinct doc_id) as n from held group by g), most as (select doc_id, max(n) - 1 as n from held join holders using (g) group by doc_id)
+      select d.doc_id, coalesce(length(text), 0)::int as n_chars, coalesce(c.n, 0)::bigint as shared_chars, case when length(text) > 0 then coalesce(c.n, 0) / length(text) else 0.0 end::double as share, coalesce(m.n, 0) as most_holders
+      from documents d left join covered c on d.doc_id = c.doc_id left join most m on d.doc_id = m.doc_id""",
+    "p8_removals": f"""with {_SPANS_SQL}, leads as (select g, min(doc_id) as lead from held group by g),
+      cut as (select distinct doc_id, i from held join leads using (g) where lead < doc_id),
+      parts as (select *, sum(case when i <= before + 200 then 0 else 1 end) over (partition by doc_id order by i) as part from (select *, coalesce(lag(i) over (partition by doc_id order by i), -1000) as before from cut))
+      select doc_id, (min(i) - 1)::int as start, (max(i) + 199)::int as end from parts group by doc_id, part""",
+    "p8_units": f"""with pieces as (select doc_id, generate_subscripts(l, 1) as k, unnest(l) as x from (select doc_id, regexp_split_to_array(text, '[\\n\\r\\x{{2028}}\\x{{2029}}。；！？.;!?]') as l from documents where text is not null)),
+      placed as (select doc_id, x, (sum(length(x) + 1) over (partition by doc_id order by k) - length(x) - 1)::int as off from pieces),
+      units as (select doc_id, {_STRIPPED} as u, off + {_LEFT} as start from placed where length({_STRIPPED}) >= {grams.LEAST_UNIT})
+      select doc_id, start::int as start, (start + length(u))::int as end from (select *, row_number() over (partition by u order by doc_id, start) as n from units) where n > 1""",
 }

@@ -27,26 +27,28 @@ def shared_pairs(rows, least):
     return sorted({(a, b) for ids in at.values() for a in ids for b in ids if a < b})
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=120), max_size=6), st.integers(3, 12), st.integers(1, 20))
-def test_a_stretch_holds_the_same_units_wherever_it_occurs(texts, k, w):
-    arrays = [grams.code_points(t) for t in texts]
-    own, at, u = grams.chosen_units(arrays, k, w)
-    h = [grams.rolling(a, k) for a in arrays]
-    assert all(h[i][p] == x for i, p, x in zip(own, at, u)) and len(set(zip(own.tolist(), at.tolist()))) == len(own)
-    for i, a in enumerate(h):
-        if len(a) >= w:  # without periodic stretches every window holds a unit
-            if len(set(a.tolist())) == len(a):
-                assert all(any(j <= p < j + w for q, p in zip(own, at) if q == i) for j in range(len(a) - w + 1))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab甲。\n ", max_size=120), max_size=5), st.integers(5, 40), st.integers(2, 4))
+def test_equal_windows_have_equal_seeds(texts, window, piece):
+    seen = {}
+    for t in texts:
+        own = grams.window_seeds(t, grams.code_points(t), window, piece)
+        assert len(own) == max(0, len(t) - window + 1)
+        for i, s in enumerate(own.tolist()):
+            assert seen.setdefault(t[i : i + window], s) == s
 
 
 def test_pieces_of_a_very_long_text(monkeypatch):
-    rng = np.random.default_rng(0)
-    arrays = [rng.integers(0, 2000, 5000).astype(np.uint32), rng.integers(0, 2000, 30).astype(np.uint32)]
-    whole = grams.chosen_units(arrays, 10, 21)
+    rng = random.Random(0)
+    t = noise(rng, 3000) + "".join(noise(rng, rng.randrange(5, 50)) + "。" for _ in range(100)) + noise(rng, 700)
+    whole = grams.window_seeds(t, grams.code_points(t), 200, 64)
     monkeypatch.setattr(grams, "CHUNK", 512)
-    for a, b in zip(whole, grams.chosen_units(arrays, 10, 21)):
-        assert (a == b).all()
+    assert (whole == grams.window_seeds(t, grams.code_points(t), 200, 64)).all()
+
+
+def test_units_of_a_text():
+    begin, end = grams.units("第一条　本条例自公布之日起施行。\n  短。 abcdefghij ！")
+    assert [("第一条　本条例自公布之日起施行。\n  短。 abcdefghij ！")[a:b] for a, b in zip(begin, end)] == ["第一条　本条例自公布之日起施行", "abcdefghij"]
 
 
 def test_spans_against_brute_force(spark):
@@ -56,8 +58,11 @@ def test_spans_against_brute_force(spark):
             (9, None), (10, ""), (11, "短"), (12, "啊" * 900 + b), (13, "啊" * 300 + b), (14, "ab" * 400), (15, "z" + "ab" * 150), (16, c[:260].replace("", "\n")[1:-1]), (16, c[:260].replace("", "\n")[1:-1])]
     s = spans.SharedSpans(docs(spark, rows), "doc_id", "text")
     assert sorted(tuple(r) for r in s.pairs().collect()) == shared_pairs(rows, 200)
-    shares = {r.doc_id: (r.n_chars, r.shared_chars, r.held_by) for r in s.shares().collect()}
+    shares = {r.doc_id: (r.n_chars, r.shared_chars, r.most_holders) for r in s.shares().collect()}
     assert len(shares) == 16 and shares[9] == (0, 0, 0) and shares[1] == (300, 0, 0) and shares[7] == (450, 450, 3) and shares[3][1:] == (200, 3) and shares[5][1] == 900
+    assert {i: n for i, (_, n, _) in shares.items()} == covered([r for r in dict(rows).items() if r[1]], 200) | {9: 0, 10: 0}
+    hot = spans.SharedSpans(docs(spark, rows), "doc_id", "text", hot=2)
+    assert sorted(tuple(r) for r in hot.pairs().collect()) == shared_pairs(rows, 200) and {r.doc_id: (r.n_chars, r.shared_chars, r.most_holders) for r in hot.shares().collect()} == shares
     cut = {}
     for r in s.removals().collect():
         cut.setdefault(r.doc_id, []).append((r.start, r.end))
@@ -98,6 +103,33 @@ def test_periodic_stretches_before_a_common_tail(spark):
     assert {r.doc_id: r.shared_chars for r in s.shares().collect()} == covered(rows, 200)
 
 
+def test_rulers_and_cells(spark):
+    rows = [(1, "一" * 900), (2, "x" + "一" * 300), (3, "ab" * 800), (4, "ab" * 150), (5, "-" * 250), (6, "甲乙" + "-" * 1500), (7, "丙" * 199)]
+    s = spans.SharedSpans(docs(spark, rows), "doc_id", "text")
+    assert {r.doc_id: r.shared_chars for r in s.shares().collect()} == {1: 900, 2: 300, 3: 1600, 4: 300, 5: 250, 6: 1500, 7: 0}
+    assert sorted(tuple(r) for r in s.removals().collect()) == [(2, 1, 301), (4, 0, 300), (6, 2, 1502)]
+
+
+def test_one_boilerplate_in_thousands_of_texts(spark):
+    rng = random.Random(21)
+    notice = noise(rng, 120) + "。" + noise(rng, 140) + "\n" + noise(rng, 90)
+    rows = [(i, noise(rng, 60) + notice + noise(rng, 60)) for i in range(3000)]
+    s = spans.SharedSpans(docs(spark, rows), "doc_id", "text", hot=1000)
+    n = s.runs.count()
+    assert n < 4 * len(rows)  # a few runs a text, whatever the number of its holders
+    # characters beside the notice agree by chance with those of some other text
+    assert all(len(notice) <= r.shared_chars <= len(notice) + 9 and r.most_holders == 2999 for r in s.shares().collect())
+    cut = {r.doc_id: (r.start, r.end) for r in s.removals().collect()}
+    assert sorted(cut) == list(range(1, 3000)) and all(a <= 60 and b >= 60 + len(notice) for a, b in cut.values())
+
+
+def test_repeated_units(spark):
+    rows = [(1, "甲乙丙丁戊己庚辛壬癸。短。甲乙丙丁戊己庚辛壬癸！"), (2, "x\n  甲乙丙丁戊己庚辛壬癸  \n"), (3, None), (4, "甲乙丙丁戊己庚辛壬癸子"), (4, "甲乙丙丁戊己庚辛壬癸子")]
+    assert sorted(tuple(r) for r in spans.repeated_units(docs(spark, rows), "doc_id", "text").collect()) == [(1, 13, 23), (2, 4, 14)]
+    assert sorted(tuple(r) for r in spans.repeated_units(docs(spark, rows), "doc_id", "text", kept=True).collect()) == [(1, 0, 10)]
+    assert spans.repeated_units(docs(spark, []), "doc_id", "text").count() == 0
+
+
 def test_spans_of_nothing(spark):
     s = spans.SharedSpans(docs(spark, []), "doc_id", "text")
     assert s.pairs().count() == 0 and s.shares().count() == 0 and s.removals().count() == 0
