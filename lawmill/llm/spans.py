@@ -28,7 +28,7 @@ PIECE = 64
 #: Rows of a seed from which on its windows are grouped one by one in Spark and not in one call.
 HOT = 1000
 #: Hashes of windows that one call groups; windows that one row holds.
-HASHES_AT_ONCE, WINDOWS_IN_ROW = 2_000_000, 4096
+HASHES_AT_ONCE, WINDOWS_IN_ROW = 250_000, 4096
 
 
 def seeds(texts: DataFrame, least: int, piece: int) -> DataFrame:
@@ -172,7 +172,7 @@ class SharedSpans:
         sizes = hashed.agg(F.sum(F.length("hashes") / 8).alias("n"), F.max("hot").alias("hot")).first()
         buckets = max(parallelism(spark), int((sizes["n"] or 0) // HASHES_AT_ONCE) + 1)
         cool = hashed.filter("not hot").withColumn("bucket", F.pmod(F.xxhash64("seed"), F.lit(buckets)))
-        runs = cool.groupBy("bucket").applyInArrow(group_windows, _RUN)
+        runs = cool.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(group_windows, _RUN)
         if sizes["hot"]:
             runs = runs.unionByName(_group_hot(hashed.filter("hot")))
         self.runs = staged(runs, "runs")
