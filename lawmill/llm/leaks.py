@@ -1,15 +1,17 @@
 """Evaluation texts leaking into training text.
 
 Edit distance is mapped to Hamming distance by a random walk over the characters (the CGK embedding), and the embedded
-windows are hashed at sampled places, anew in each repetition. Windows of the corpus are taken every `window`
-characters, windows of the items at every character: a run of twice the window holds a whole corpus window, and equal
-windows have equal embeddings, so runs without edits are always found; the number of repetitions is set for the wanted
-recall at `max_edits`. Every hit is verified exactly.
+windows are hashed at sampled places, anew in each repetition. Windows are half a run of an item, less the edits: taken from
+the corpus one after the other and from the items at every character, so that any run holds a whole window of the corpus. The number of
+repetitions is set so that a window with `max_edits` random edits is hit with the wanted recall; equal windows have equal
+embeddings, so runs without edits are always hit. Hits are verified by edit distance: of the window, then of a whole
+run around it. Exact runs are told apart last.
 """
 
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,9 +25,13 @@ from lawmill.llm.grams import code_points
 from lawmill.session import spread
 
 RUN = 40
-#: Item characters that one broadcast index may hold: 12 bytes each. Larger sets are searched in blocks of this size.
-ITEM_CHARS = 8_000_000
-SAMPLES = 24
+#: Item characters of one broadcast block; an index takes some 16 bytes a character and repetition. Larger sets are searched in
+#: blocks of this size. Characters of texts that are searched in one go.
+ITEM_CHARS, TEXT_AT_ONCE = 1_000_000, 1_000_000
+SAMPLES = 8
+MAX_EDITS, RECALL = 2, 0.95
+#: Hits that are verified in one go.
+HITS_AT_ONCE = 200_000
 
 
 @cache
@@ -75,6 +81,7 @@ def walk_codes(windows: np.ndarray, seed: int, samples: int = SAMPLES) -> np.nda
     return out
 
 
+@cache
 def repetitions(window: int, max_edits: int, recall: float, trials: int = 2000) -> int:
     """How many repetitions find a window with max_edits random edits with the wanted probability, by simulation."""
     if max_edits == 0:
@@ -91,8 +98,11 @@ def repetitions(window: int, max_edits: int, recall: float, trials: int = 2000)
                 row[p:-1] = row[p + 1 :]
             else:
                 row[p + 1 :] = row[p:-1]
-    hit = np.mean([(walk_codes(a[:, :window], s) == walk_codes(b[:, :window], s)).mean() for s in range(8)])
-    return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - max(min(hit, 1 - 1e-9), 1e-4)))))
+    hit, s = np.zeros(trials, dtype=bool), 0
+    while hit.mean() < recall:  # pairs differ in how easily they are hit, so each is followed through all repetitions
+        hit |= walk_codes(a[:, :window], s) == walk_codes(b[:, :window], s)
+        s += 1
+    return s
 
 
 def common_run(a: np.ndarray, i: int, b: np.ndarray, j: int) -> tuple[int, int, int]:
@@ -115,91 +125,184 @@ def least_edits(needle: np.ndarray, hay: np.ndarray) -> int:
     return int(row.min())
 
 
+def banded_reach(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of code points a (0 past the end of an item) and b (0 past the end of a text, `most` characters longer): how
+    far into a one gets with 0, 1 .. `most` edits (rows by most + 1), and the edit distance of all of a to the best prefix
+    of b, where larger than most reads most + 1."""
+    rows, n = a.shape
+    width, far = 2 * most + 1, most + 1
+    reach = np.zeros((rows, most + 1), dtype=np.int64)
+    d = np.full((width + 2, rows), far, dtype=np.int64)  # d[k + 1]: a prefix of b longer by k - most; a border on both sides
+    for k in range(most, width):
+        d[k + 1] = k - most
+    for i in range(n):
+        alive = a[:, i] != 0
+        new = np.full_like(d, far)
+        for k in range(width):
+            j = i + k - most
+            step = d[k + 2] + 1  # a character of a that b lacks
+            if 0 <= j < b.shape[1]:
+                step = np.minimum(step, d[k + 1] + ((a[:, i] != b[:, j]) | (b[:, j] == 0)))
+            if j >= 0:
+                step = np.minimum(step, new[k] + 1)
+            new[k + 1] = np.minimum(step, far)
+        new[:, ~alive] = far
+        d = new
+        low = d[1:-1].min(axis=0)
+        for e in range(most + 1):
+            reach[low <= e, e] = i + 1
+    return reach, d[1:-1].min(axis=0)
+
+
+def _around(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """n characters from each place on; places outside are 0."""
+    i = at[:, None] + np.arange(n)
+    return np.where((i >= 0) & (i < len(chars)), chars[np.clip(i, 0, max(0, len(chars) - 1))], 0) if len(chars) else np.zeros(i.shape, np.uint32)
+
+
 class _Index:
-    """Windows of the items at every character, hashed once per repetition and sorted."""
+    """Windows of the items at every character, each distinct window hashed once per repetition and sorted."""
 
     def __init__(self, ids: list, texts: list[str | None], run: int, window: int, repeats: int) -> None:
         self.ids, self.run, self.window = ids, run, window
         self.chars = [compared_chars(t) for t in texts]
-        own = [np.full(max(0, len(c) - window + 1), i) for i, c in enumerate(self.chars) if len(c) >= run]
-        at = [np.arange(len(c) - window + 1) for c in self.chars if len(c) >= run]
-        views = [np.lib.stride_tricks.sliding_window_view(c, window) for c in self.chars if len(c) >= run]
-        own, at = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (own, at))
-        windows = np.concatenate(views) if views else np.empty((0, window), np.uint32)
-        self.tables = []
+        # items one after the other, parted by as many zeros as are ever looked at beyond an end
+        self.pad = 2 * run
+        self.begins = np.cumsum([self.pad, *(len(c) + self.pad for c in self.chars[:-1])]) if self.chars else np.empty(0, np.int64)
+        self.flat = np.zeros(self.pad + sum(len(c) + self.pad for c in self.chars), dtype=np.uint32)
+        for c, lo in zip(self.chars, self.begins, strict=True):
+            self.flat[lo : lo + len(c)] = c
+        places = [lo + np.arange(len(c) - window + 1) for c, lo in zip(self.chars, self.begins, strict=True) if len(c) >= run]
+        place = np.concatenate(places) if places else np.empty(0, np.int64)
+        windows = _around(self.flat, place, window)
+        kinds, which = np.unique(windows, axis=0, return_inverse=True) if len(place) else (np.zeros((0, window), np.uint32), np.empty(0, np.int64))
+        order = np.argsort(which, kind="stable")
+        self.place, self.kind_at = place[order], np.searchsorted(which[order], np.arange(len(kinds) + 1))
+        self.kinds, self.tables = kinds, []
         for s in range(repeats):
-            codes = walk_codes(windows, s)
+            codes = walk_codes(kinds, s)
             order = np.argsort(codes, kind="stable")
-            self.tables.append((codes[order], own[order].astype(np.int32), at[order].astype(np.int32)))
+            self.tables.append((codes[order], order))
 
-    def search(self, texts: list[str | None], max_edits: int) -> list[tuple[int, int, int]]:
-        """(text number, item number, length of the longest run; with edits, characters matched)."""
+    def hits(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window, kind of item window) that agree in the sampled places of some repetition, each once."""
+        pairs = [np.empty(0, np.int64)]
+        for s, (codes, kinds) in enumerate(self.tables):
+            got = walk_codes(windows, s)
+            lo, hi = np.searchsorted(codes, got), np.searchsorted(codes, got, "right")
+            n = hi - lo
+            w = np.repeat(np.arange(len(got)), n)
+            k = kinds[np.repeat(lo, n) + np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)]
+            pairs.append(w * max(1, len(self.kinds)) + k)
+        both = np.unique(np.concatenate(pairs))
+        return both // max(1, len(self.kinds)), both % max(1, len(self.kinds))
+
+    def search(self, texts: list[str | None], max_edits: int) -> list[tuple[int, int, int, int]]:
+        """(text number, item number, length of the longest exact run found, least edits of a run of `run` characters)."""
         chars = [compared_chars(t) for t in texts]
-        n = self.window
+        n, run = self.window, self.run
         counts = np.array([len(c) // n for c in chars], dtype=np.int64)
-        if not counts.sum():
+        if not counts.sum() or not len(self.kinds):
             return []
-        windows = np.concatenate([c[: k * n].reshape(k, n) for c, k in zip(chars, counts, strict=True) if k])
+        starts = np.cumsum([self.pad, *(len(c) + self.pad for c in chars[:-1])])
+        flat = np.zeros(self.pad + sum(len(c) + self.pad for c in chars), dtype=np.uint32)
+        for c, lo in zip(chars, starts, strict=True):
+            flat[lo : lo + len(c)] = c
         owner = np.repeat(np.arange(len(chars)), counts)
-        place = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * n
-        best: dict[tuple[int, int], int] = {}
-        seen: dict[tuple[int, int, int, int], int] = {}  # where the last run on a diagonal ended; another may follow
-        for s, (codes, own, at) in enumerate(self.tables):
-            got = walk_codes(windows, s)
-            lo = np.searchsorted(codes, got)
-            for w in np.flatnonzero(codes[np.minimum(lo, len(codes) - 1)] == got) if len(codes) else ():
-                for e in range(int(lo[w]), int(np.searchsorted(codes, got[w], "right"))):
-                    t, i, j, p = int(owner[w]), int(own[e]), int(at[e]), int(place[w])
-                    if max_edits and best.get((t, i), 0) >= self.run or p < seen.get((s, t, i, p - j), 0):
-                        continue
-                    a, b = self.chars[i], chars[t]
-                    _, begin, length = common_run(a, j, b, p)
-                    seen[s, t, i, p - j] = begin + length
-                    if length >= self.run:
-                        best[t, i] = max(length, best.get((t, i), 0))
-                    elif max_edits:
-                        for k in range(max(0, j + n - self.run), min(j, len(a) - self.run) + 1):
-                            hay = b[max(0, p - (j - k) - max_edits) : p + self.run - (j - k) + max_edits]
-                            if len(hay) and least_edits(a[k : k + self.run], hay) <= max_edits:
-                                best[t, i] = max(self.run, best.get((t, i), 0))
-                                break
-        return [(t, i, r) for (t, i), r in best.items()]
-
-
-def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], run: int = RUN, max_edits: int = 0, recall: float = 0.95) -> DataFrame:
-    """One row per item and document that share a run of at least `run` compared characters of one of the item's parts:
-    item_id, doc_id, run (the longest found; with max_edits > 0 at least `run` characters with so many edits count).
-
-    Compared characters are letters and digits after NFKC and lower case; all else is skipped on both sides. Defined
-    cases: null, empty and shorter texts match nothing; repeated rows of an id count as one; null ids are ignored;
-    texts are searched whole. Items are broadcast in blocks of at most ITEM_CHARS characters; there are as many passes
-    over the documents as blocks.
+        place = starts[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * n
+        windows = _around(flat, place, n)
+        w, k = self.hits(windows)
+        dist = np.concatenate([np.empty(0, np.int64), *(banded_reach(self.kinds[k[i : i + HITS_AT_ONCE]], _around(flat, place[w[i : i + HITS_AT_ONCE]], n + max_edits), max_edits)[1] for i in range(0, len(w), HITS_AT_ONCE))])
+        w, k = w[dist <= max_edits], k[dist <= max_edits]
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        size = self.kind_at[k + 1] - self.kind_at[k]
+        cut = np.searchsorted(np.cumsum(size), np.arange(0, size.sum() + HITS_AT_ONCE, HITS_AT_ONCE))  # a window of many items is verified part by part
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            part = np.arange(lo, hi)
+            if not len(part):
+                continue
+            h = np.repeat(part, size[part])
+            at = self.place[self.kind_at[k[h]] + np.arange(len(h)) - np.repeat(np.cumsum(size[part]) - size[part], size[part])]
+            self._verify(chars, starts, flat, place[w[h]], at, owner[w[h]], max_edits, best)
+        return [(t, i, r, e) for (t, i), (r, e) in best.items()]
+
+    def _verify(self, chars: list[np.ndarray], starts: np.ndarray, flat: np.ndarray, p: np.ndarray, q: np.ndarray, owner: np.ndarray, most: int, best: dict) -> None:
+        """Runs through the places p of the texts and q of the items: so far to the right of it and so far to the left."""
+        run = self.run
+        item = np.searchsorted(self.begins, q, "right") - 1
+        right, _ = banded_reach(_around(self.flat, q, run), _around(flat, p, run + most), most)
+        left, _ = banded_reach(_around(self.flat, q - run, run)[:, ::-1], _around(flat, p - run - most, run + most)[:, ::-1], most)
+        edits = np.full(len(p), most + 1)
+        for e in range(most, -1, -1):
+            for x in range(e + 1):
+                edits[left[:, x] + right[:, e - x] >= run] = e
+        seen: dict[tuple[int, int, int], int] = {}  # where the last exact run on a diagonal ended; another may follow
+        for j in np.lexsort((p, item, owner)):
+            if edits[j] > most:
+                continue
+            t, i = int(owner[j]), int(item[j])
+            length, least = best.get((t, i), (0, most + 1))
+            if not edits[j] and p[j] >= seen.get((t, i, int(p[j] - q[j])), 0):
+                _, begin, got = common_run(self.chars[i], int(q[j] - self.begins[i]), chars[t], int(p[j] - starts[t]))
+                seen[t, i, int(p[j] - q[j])] = int(starts[t]) + begin + got
+                length = max(length, got)
+            best[t, i] = length, min(least, int(edits[j]))
+
+
+_INDEXES: dict[int, _Index] = {}
+
+
+def _index(shared, run: int, window: int, repeats: int) -> _Index:
+    """The index of a broadcast block of items, built once in each worker."""
+    if shared.value[0] not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[shared.value[0]] = _Index(shared.value[1], shared.value[2], run, window, repeats)
+    return _INDEXES[shared.value[0]]
+
+
+def leaked_items(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, parts: list[str], run: int = RUN, max_edits: int = MAX_EDITS, recall: float = RECALL) -> DataFrame:
+    """One row per item and document that share a run of `run` compared characters of one of the item's parts but for at most `max_edits`
+    edits: item_id, doc_id, run (the longest exact run found if at least `run`, else 0), edits (the fewest of a run).
+
+    Exact runs are all found; runs with edits with the wanted recall. Compared characters are letters and digits after NFKC
+    and lower case; all else is skipped on both sides. Defined cases: null, empty and shorter texts match nothing;
+    repeated rows of an id count as one; null ids are ignored; texts are searched whole. Items are broadcast in blocks of at
+    most ITEM_CHARS characters and indexed in the workers; there are as many passes over the documents as blocks.
     """
-    window = run // 2
+    window = (run - max_edits) // 2  # a run that lost max_edits characters still holds a whole window of the corpus
     repeats = repetitions(window, max_edits, recall)
     flat = items.select(F.col(item).alias("item"), F.explode(F.array(*[F.col(p) for p in parts])).alias("text")).filter("item is not null and text is not null").distinct()
     total = flat.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total * repeats // ITEM_CHARS))
-    schema = "item_id long, doc_id long, run int"
-    # a character may become many under NFKC, but no text here grows more than 18-fold
+    blocks = max(1, -(-total // ITEM_CHARS))
+    schema = "item_id long, doc_id long, run int, edits int"
     source = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).filter("doc is not null and text is not null"))
 
-    def searcher(index: _Index):
+    def searcher(shared):
         def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
+                index = _index(shared, run, window, repeats)
                 ids, found = b.column("doc").to_pylist(), []
                 texts = b.column("text").to_pylist()
-                for lo in range(0, len(texts), 500):
-                    found += [(index.ids[i], ids[lo + t], r) for t, i, r in index.search(texts[lo : lo + 500], max_edits)]
-                cols = list(zip(*found, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["item_id", "doc_id", "run"])
+                sizes = np.cumsum([len(t) for t in texts])
+                for lo, hi in parts_of(sizes, TEXT_AT_ONCE):
+                    found += [(index.ids[i], ids[lo + t], r, e) for t, i, r, e in index.search(texts[lo:hi], max_edits)]
+                cols = list(zip(*found, strict=True)) or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["item_id", "doc_id", "run", "edits"])
 
         return run_batches
 
     out = None
     for k in range(blocks):
         block: pd.DataFrame = flat.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast(_Index([int(x) for x in block["item"]], list(block["text"]), run, window, repeats))
-        part = source.mapInArrow(lambda it, s=shared: searcher(s.value)(it), schema)
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().int, [int(x) for x in block["item"]], list(block["text"])))
+        part = source.mapInArrow(searcher(shared), schema)
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("item_id", "doc_id").agg(F.max("run").alias("run"))
+    return out.groupBy("item_id", "doc_id").agg(F.max(F.when(F.col("run") >= run, F.col("run")).otherwise(0)).alias("run"), F.min("edits").alias("edits"))
+
+
+def parts_of(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of neighbouring texts of about `size` characters in all, from the running sum of their lengths."""
+    if not len(ends):
+        return []
+    cut = np.unique(np.append(np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1, len(ends)))
+    return [(int(a), int(b)) for a, b in zip([0, *cut[:-1]], cut, strict=True)]

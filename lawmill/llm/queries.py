@@ -63,20 +63,20 @@ def p6_summary(spark: SparkSession, d: str) -> DataFrame:
     return fill.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
-def _leaks(spark: SparkSession, d: str, **options) -> DataFrame:
-    return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_queries"), "item_id", ["question", "passage"], **options)
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_queries"), "item_id", ["question", "passage"])
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).select("item_id", "doc_id")
+    return _leaks(spark, d).filter("run > 0").select("item_id", "doc_id")
 
 
 def p7_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d)
+    return _leaks(spark, d).filter("run > 0").select("item_id", "doc_id", "run")
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d, max_edits=2).select("item_id", "doc_id")
+    return _leaks(spark, d).select("item_id", "doc_id", "edits")
 
 
 def _spans(spark: SparkSession, d: str) -> spans.SharedSpans:
@@ -133,6 +133,13 @@ SQL = {
     "p2_forms": f"select row_id, {lookalike.form_sql('body')} as body_form, {lookalike.form_sql('article')} as article_form from audit_state",
     "p3_found": f"with {_NEAREST_SQL} select distinct least(a, b) as key_a, greatest(a, b) as key_b from near where cosine >= 0.9",
     "p7_found": f"with {_LEAKS_SQL} select distinct item_id, doc_id from item_runs join doc_runs using (g)",
+    "p7_runs": f"""with {_LEAKS_SQL},
+      item_at as (select item_id, p, i, substr(t, i, 40) as g from (select item_id, t, row_number() over () as p, unnest(range(1, length(t) - 38)) as i from items where length(t) >= 40)),
+      doc_at as (select doc_id, i, substr(t, i, 40) as g from (select doc_id, t, unnest(range(1, length(t) - 38)) as i from texts where length(t) >= 40)),
+      hits as (select distinct item_id, p, doc_id, a.i as i, d.i - a.i as diagonal from item_at a join doc_at d using (g)),
+      islands as (select *, i - row_number() over (partition by item_id, p, doc_id, diagonal order by i) as island from hits),
+      lengths as (select item_id, doc_id, count(*) + 39 as n from islands group by item_id, p, doc_id, diagonal, island)
+      select item_id, doc_id, max(n)::int as run from lengths group by item_id, doc_id""",
     "p8_found": f"with {_SPANS_SQL} select distinct a.doc_id as doc_id_a, b.doc_id as doc_id_b from held a join held b on a.g = b.g and a.doc_id < b.doc_id",
     "p8_shares": f"""with {_SPANS_SQL},
       covered as (select doc_id, sum(least(200, coalesce(after - i, 200))) as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as after from (select distinct doc_id, i from held)) group by doc_id),
