@@ -27,10 +27,12 @@ LEAF = 6144
 TREES = 13
 #: Leaves searched beyond those the vector lies in.
 MORE_LEAVES = 1
-#: Vectors the hyperplanes are fitted on, at most; all vectors are indexed.
-SAMPLE = 65_536
-#: Levels fitted on the sample; deeper splits are made inside a leaf on all its members.
-MOST_LEVELS = 10
+#: Share of the vectors of an oversized leaf that search both of its halves.
+NEAR = 0.5
+#: Vectors the hyperplanes are fitted on, at most (deep trees take SAMPLE_PER_LEAF a leaf); all vectors are indexed.
+SAMPLE, SAMPLE_PER_LEAF = 65_536, 16
+#: Levels of every tree, as far as leaves keep FEWEST vectors; splits below the most are made inside a leaf on all its members.
+LEAST_LEVELS, MOST_LEVELS, FEWEST = 2, 14, 64
 
 
 @dataclass
@@ -137,25 +139,26 @@ def best_in_block(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarr
 
 
 def _split(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, qi: np.ndarray, xi: np.ndarray, k: int, leaf: int, rng: np.random.Generator, out: list) -> None:
-    """Search a leaf; one much larger than wanted is halved by further hyperplanes, at random where all are equal."""
-    if len(xi) <= 2 * leaf or not len(qi):
-        if len(qi) and len(xi):
-            for lo in range(0, len(qi), 1 << 16):
-                part = qi[lo : lo + (1 << 16)]
-                place, _ = best_in_block(q[part], x[xi], q_id[part], x_id[xi], k)
-                out.append((np.repeat(part, k)[place.ravel() >= 0], xi[place.ravel()[place.ravel() >= 0]]))
+    """Search a leaf. One much larger than wanted is halved by a further hyperplane, and vectors near it search both
+    halves; where no plane halves it, as in a crowd of nearly equal vectors, it is compared whole, block by block."""
+    if not len(qi) or not len(xi):
         return
-    a, b = x[rng.choice(xi, 2)]
-    w = a - b
-    px, pq = x[xi] @ w, q[qi] @ w
-    cut = np.median(px)
-    right, goes = px > cut, pq > cut
-    if not 0.1 < right.mean() < 0.9:
-        right, goes = (x_id[xi] & 1).astype(bool), (q_id[qi] & 1).astype(bool)
-        if not 0.1 < right.mean() < 0.9:
-            right, goes = rng.random(len(xi)) < 0.5, rng.random(len(qi)) < 0.5
-    _split(q, x, q_id, x_id, qi[goes], xi[right], k, leaf, rng, out)
-    _split(q, x, q_id, x_id, qi[~goes], xi[~right], k, leaf, rng, out)
+    cut = None
+    if len(xi) > 2 * leaf:
+        a, b = x[rng.choice(xi, 2)]
+        w = a - b
+        w = w / max(float(np.linalg.norm(w)), 1e-12)
+        px, pq = x[xi] @ w, q[qi] @ w
+        cut = np.median(px)
+    if cut is None or not 0.1 < (px > cut).mean() < 0.9:
+        for lo in range(0, len(qi), 1 << 16):
+            part = qi[lo : lo + (1 << 16)]
+            place, _ = best_in_block(q[part], x[xi], q_id[part], x_id[xi], k)
+            out.append((np.repeat(part, k)[place.ravel() >= 0], xi[place.ravel()[place.ravel() >= 0]]))
+        return
+    near = np.abs(pq - cut) <= np.quantile(np.abs(px - cut), NEAR)
+    _split(q, x, q_id, x_id, qi[(pq > cut) | near], xi[px > cut], k, leaf, rng, out)
+    _split(q, x, q_id, x_id, qi[(pq <= cut) | near], xi[px <= cut], k, leaf, rng, out)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -173,12 +176,12 @@ def nearest_ids(vectors: DataFrame, dim: int, k: int, leaf: int = LEAF, trees: i
     vectors: id long, v binary (float32, not all zero), ids unique. The table is read several times; stage it first.
     """
     n = vectors.count()
-    depth = min(MOST_LEVELS, max(0, round(np.log2(max(1, n) / leaf))))
-    if depth == 0:
-        trees, more = 1, 0
+    levels = lambda size: round(np.log2(max(size, n) / size))
+    depth = min(MOST_LEVELS, max(min(LEAST_LEVELS, levels(FEWEST)), levels(leaf)))
+    sample = max(sample, SAMPLE_PER_LEAF << depth)
     share = min(1.0, 1.2 * sample / max(1, n))
-    rows = [bytes(r.v) for r in vectors.select("v").sample(share, seed=3).limit(sample).collect()] if depth else []
-    fitted = Forest.fit(_unit(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, dim)), trees, depth) if depth else Forest(np.zeros((1, 0, dim), np.float32), np.zeros((1, 0), np.float32), 0)
+    rows = [bytes(r.v) for r in vectors.select("v").sample(share, seed=3).limit(sample).collect()]
+    fitted = Forest.fit(_unit(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, dim)), trees, depth)
     forest = vectors.sparkSession.sparkContext.broadcast(fitted)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
