@@ -15,6 +15,7 @@ BOOK = rf"^第{NUMBER}+[{BLANK}]*(?:分编|[编篇])"
 ITEM = "^[（(][一二三四五六七八九十]+[）)]"
 HEADING = rf"^#{{2,3}}[{BLANK}]*(.+?)[{BLANK}]*$"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
+#: Paragraphs of a clause that reranking looks at.
 MOST_SEGMENTS = 8
 
 
@@ -47,14 +48,13 @@ def clauses(df: DataFrame, text: str) -> DataFrame:
     cut = df.select(*names, F.explode(F.array(lines)).alias("_lines"), offset.alias("_offset"))
     marks = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("i"), kind(x).alias("k"), F.when(x.rlike(HEADING), head(x)).alias("label"))), lambda m: m["k"].isNotNull())
     marked = cut.select(*names, "_lines", "_offset", F.explode(F.array(marks)).alias("_marks"))
+    marked = marked.select("*", F.explode(F.array(F.filter("_marks", lambda m: m["k"] != "a"))).alias("_heads"))
 
     def clause(m: Column, at: Column) -> Column:
-        before = F.slice("_marks", 1, at)
-        book_at = F.array_max(F.transform(before, lambda x, i: F.when(x["k"].isin("b", "o"), i)))
-        real_book_at = F.coalesce(F.array_max(F.transform(before, lambda x, i: F.when(x["k"] == "b", i))), F.lit(-1))
-        chapter_at = F.array_max(F.transform(before, lambda x, i: F.when(x["k"] == "c", i)))
-        book = F.coalesce(F.get(before, book_at)["label"], F.lit(""))
-        chapter = F.when(chapter_at > real_book_at, F.get(before, chapter_at)["label"]).otherwise("")
+        above = F.filter("_heads", lambda x: x["i"] < m["i"])  # headings only: far fewer than marks
+        last = lambda *kinds: F.try_element_at(F.filter(above, lambda x: x["k"].isin(*kinds)), F.lit(-1))
+        book = F.coalesce(last("b", "o")["label"], F.lit(""))
+        chapter = F.when(last("c")["i"] > F.coalesce(last("b")["i"], F.lit(-1)), last("c")["label"]).otherwise("")
         end = F.coalesce(F.get("_marks", at + 1)["i"], F.size("_lines"))
         own = F.slice("_lines", m["i"] + 1, end - m["i"])
         return F.struct(
@@ -68,14 +68,14 @@ def clauses(df: DataFrame, text: str) -> DataFrame:
     return each.select(*names, "_c.article", "_c.chapter", "_c.body", "_c.line")
 
 
-def paragraphs(body: Column, head: Column) -> Column:
-    """A clause's paragraphs with head and number in front, at most MOST_SEGMENTS; items join the paragraph before
+def paragraphs(body: Column, head: Column, most: int | None = None) -> Column:
+    """A clause's paragraphs with head and number in front, all or the first `most`; items join the paragraph before
     them; a single paragraph has no number. body: the clause's lines."""
     lines = F.filter(F.transform(F.split(F.coalesce(body, F.lit("")), LINE_END), stripped), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
     # a mark between lines that stay apart, then one split: linear in the number of lines
     apart = F.array_join(F.transform(lines, lambda x, i: F.when((i > 0) & x.rlike(ITEM), F.concat(F.lit(" "), x)).when(i > 0, F.concat(F.lit("\n"), x)).otherwise(x)), "")
     parts = F.filter(F.split(apart, "\n"), lambda x: x != "")
-    numbered = F.transform(F.slice(parts, 1, MOST_SEGMENTS), lambda x, i: F.concat_ws(" ", head, F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("款")), x))
+    numbered = F.transform(F.slice(parts, 1, most) if most else parts, lambda x, i: F.concat_ws(" ", head, F.concat(F.lit("第"), (i + 1).cast("string"), F.lit("款")), x))
     return F.when(F.size(parts) > 1, numbered).when(F.size(parts) == 1, F.array(F.concat_ws(" ", head, parts[0]))).otherwise(F.array(head))
 
 

@@ -34,11 +34,12 @@ def safe_stems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _official(spark: SparkSession, d: str) -> DataFrame:
-    """The last delivery of the catalog: one row per title and date."""
+    """The last delivery of the catalog: one row per title and date; a void mark is no part of a title, as in file names."""
     t = table(spark, d, "check_updates")
     last = t.agg(F.max("snapshot").alias("s"))
     rows = t.join(F.broadcast(last), t["snapshot"] == last["s"])  # one row
-    rows = rows.select(plain_title(F.col("title")).alias("title"), iso_date(F.col("promulgated")).alias("date"), iso_date(F.col("effective")).alias("effective"), "status", "status_code", "category", "issuer", "received_at")
+    title = F.nullif(F.regexp_replace(plain_title(F.col("title")), titles.VOID, ""), F.lit(""))
+    rows = rows.select(title.alias("title"), iso_date(F.col("promulgated")).alias("date"), iso_date(F.col("effective")).alias("effective"), "status", "status_code", "category", "issuer", "received_at")
     return rows.filter("title is not null").groupBy("title", "date").agg(
         F.max_by(F.struct("effective", "status", "status_code", "category", "issuer"), F.struct("received_at", "effective", F.coalesce("status_code", F.lit(-99)))).alias("m")
     ).select("title", F.nullif("date", F.lit("")).alias("date"), "m.*")
@@ -202,7 +203,7 @@ titled as (select *, case when regexp_matches(stem, '^(.*)_(\d{{8}})$') then reg
 cut as (select *, regexp_replace(regexp_replace(regexp_replace(t0, '\+', '、', 'g'), '、{{2,}}', '、', 'g'), '^[、_\s　]+|[、_\s　]+$', '', 'g') as t1 from titled),
 files as (select *, regexp_matches(t1, '{titles.VOID}') as voided, {_strip(f"regexp_replace(t1, '{titles.VOID}', '')")} as name from cut)"""
 _OFFICIAL = f"""
-rows_last as (select {_plain('title')} as title, {_sql_day('promulgated')} as date, {_sql_day('effective')} as effective, status, status_code, category, issuer, received_at
+rows_last as (select nullif(regexp_replace({_plain('title')}, '{titles.VOID}', ''), '') as title, {_sql_day('promulgated')} as date, {_sql_day('effective')} as effective, status, status_code, category, issuer, received_at
               from check_updates where snapshot = (select max(snapshot) from check_updates)),
 official as (select title, nullif(date, '') as date, effective, status, status_code, category, issuer from (
   select *, row_number() over (partition by title, date order by received_at desc nulls last, effective desc, coalesce(status_code, -99) desc) as rn from rows_last where title is not null) where rn = 1)"""

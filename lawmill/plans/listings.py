@@ -62,13 +62,13 @@ def expansions_added(spark: SparkSession, d: str) -> DataFrame:
 
 def term_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     docs, terms = searched(spark, d), staged(question_terms(spark, d), "terms")
-    rows = B.df_band(B.term_frequencies(docs, terms), terms, docs.count())
+    rows = B.df_band(B.document_frequencies(docs, terms), terms, docs.count())
     n = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("weight"), "term"))
     return rows.withColumn("n", n).filter("n <= 40").select("qid", "n", "term", "weight", "df", "used")
 
 
 def search_view(spark: SparkSession, d: str) -> DataFrame:
-    best = ranking(spark, d, "question", 20)
+    best = ranking(spark, d, 20).select("qid", "rank", "key")
     shown = clauses(spark, d).select("key", "title", "article", listing.clipped(F.coalesce("body", F.lit("")), 60).alias("snippet"), F.when(F.col("layer") == "current", "").otherwise("!").alias("flag"))
     return best.join(shown, "key").select("qid", "rank", "title", "article", "snippet", "flag")
 

@@ -25,16 +25,19 @@ def term_build(spark: SparkSession, d: str) -> DataFrame:
 
 def df_band(spark: SparkSession, d: str) -> DataFrame:
     docs, terms = searched(spark, d), staged(question_terms(spark, d), "terms")
-    return B.df_band(B.term_frequencies(docs, terms), terms, docs.count()).select("qid", "term", "df", "used")
+    return B.df_band(B.document_frequencies(docs, terms), terms, docs.count()).select("qid", "term", "df", "used")
 
 
-def ranking(spark: SparkSession, d: str, text: str, depth: int) -> DataFrame:
-    docs = searched(spark, d)
-    return B.ranked(B.bm25(docs, staged(question_terms(spark, d, text), "terms")), docs, depth)
+def word_scores(spark: SparkSession, d: str) -> DataFrame:
+    return B.bm25(searched(spark, d), staged(question_terms(spark, d), "terms"))
+
+
+def ranking(spark: SparkSession, d: str, depth: int) -> DataFrame:
+    return B.ranked(word_scores(spark, d), depth)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return ranking(spark, d, "question", 20)
+    return ranking(spark, d, 20).select("qid", "rank", "key", "score")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -53,19 +56,42 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    words = ranking(spark, d, "question", 10**9)
-    vectors = fusion.vector_search(_query_vectors(spark, d), _vectors(spark, d), DIM, fusion.CANDIDATES)
+    scores = staged(word_scores(spark, d), "scores")
+    vectors = staged(fusion.vector_search(_query_vectors(spark, d), _vectors(spark, d), DIM, fusion.CANDIDATES), "near")
+    # a key that only the words hold comes among the first 20 only if its word rank does
+    first = B.ranked(scores, 20).select("qid", "key", "rank", "score")
+    words = B.ranks_of(scores, vectors).unionByName(first.join(vectors, ["qid", "key"], "left_anti"))
     return fusion.top(fusion.hybrid(words, vectors), "rrf", 20).select("qid", "rank", "key", "bm25", "cosine", "rrf")
 
 
+ROUTES = ("question", "passage", "note")
+
+
 def rrf_multiroute(spark: SparkSession, d: str) -> DataFrame:
-    routes = [ranking(spark, d, c, 100) for c in ("question", "passage", "note")]
-    return fusion.top(fusion.multi_route(routes), "rrf", 20).select("qid", "rank", "key", "rrf")
+    terms = [question_terms(spark, d, c).withColumn("route", F.lit(c)) for c in ROUTES]
+    every = staged(terms[0].unionByName(terms[1]).unionByName(terms[2]), "terms")
+    lists = B.ranked(B.bm25(searched(spark, d), every, ("qid", "route")), 100, ("qid", "route"))
+    return fusion.top(fusion.multi_route([lists]), "rrf", 20).select("qid", "rank", "key", "rrf")
+
+
+POOL = 20
+
+
+def _segment_scores(spark: SparkSession, d: str, original: DataFrame) -> DataFrame:
+    head = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("article", F.lit("")))
+    questions = table(spark, d, "eval_queries").select(F.col("item_id").alias("qid"), F.coalesce("question", F.lit("")).alias("text"))
+    parts = segments.paragraphs(F.col("body"), head, segments.MOST_SEGMENTS)
+    hits = fusion.segment_scores(original.filter(F.col("rank") <= POOL), questions, clauses(spark, d), parts, lambda c: fusion.char_histogram(c, DIM))
+    return fusion.best_segment(hits, "key", POOL)
 
 
 def segment_rerank(spark: SparkSession, d: str) -> DataFrame:
-    hits = fusion.vector_search(_query_vectors(spark, d), _vectors(spark, d), DIM, fusion.CANDIDATES)
-    return fusion.best_segment(hits.withColumn("file", F.substring_index("key", "#", 1)), "file", 20).select("qid", "file", "rank", "score")
+    return _segment_scores(spark, d, ranking(spark, d, POOL)).select("qid", "key", "rank", "score")
+
+
+def rerank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    original = staged(ranking(spark, d, 2 * POOL).select("qid", "key", "rank"), "original")
+    return fusion.rerank_head(original, _segment_scores(spark, d, original), POOL, "fuse").select("qid", "key", "rank")
 
 
 def segment_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -105,9 +131,7 @@ def layer_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
-    docs = staged(clauses(spark, d).select("key", "title", "article", "body"), "clauses")
-    results = B.ranked(B.bm25(docs, staged(question_terms(spark, d), "terms")), docs, max(E.KS))
-    results = results.join(docs.select("key", F.col("title").alias("law"), "article"), "key")
+    results = ranking(spark, d, max(E.KS)).withColumnRenamed("title", "law")
     q = table(spark, d, "eval_queries").select(F.col("item_id").alias("qid"), "kind", "must_include", "acceptable")
     return E.answer_positions(results, q)
 
@@ -225,7 +249,7 @@ found as (select w.qid, count(*) filter (must) as must, list(rank) filter (must
 _KS = "(values " + ", ".join(f"({k})" for k in E.KS) + ") ks(k)"
 
 QUERIES = {f.__name__: f for f in (
-    term_build, df_band, bm25_topk, vector_topk, rrf_hybrid, rrf_multiroute, segment_rerank, segment_lines, clause_paragraphs, keyword_all, keyword_any,
+    term_build, df_band, bm25_topk, vector_topk, rrf_hybrid, rrf_multiroute, segment_rerank, rerank_fusion, segment_lines, clause_paragraphs, keyword_all, keyword_any,
     hits_per_doc, article_lookup, layer_filter, recall_at_k, mrr, hits_by_kind, hit_histogram, unknown_answers,
 )}
 
@@ -234,6 +258,25 @@ def _route(text: str) -> str:
     return f"select qid, key, rank from (with {_bm25_sql(text)} select qid, key, rank from words where rank <= 100)"
 
 
+def _parts_sql(most: int | None, source: str) -> str:
+    """key, n, segment of the paragraphs of clauses."""
+    first = f"[:{most}]" if most else ""
+    return rf"""
+      l as (select key, concat_ws(' ', coalesce(title, ''), coalesce(article, '')) as head, list_filter(list_transform(regexp_split_to_array(coalesce(body, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
+              lambda x: {_STRIP}), lambda x: x <> '' and not starts_with(x, '#')) as l from {source}),
+      p as (select key, head, list_filter(string_split(array_to_string(list_transform(l, lambda x, i: case when i = 1 then x when regexp_matches(x, '{segments.ITEM}') then ' ' || x else chr(10) || x end), ''), chr(10)), lambda x: x <> '') as p from l),
+      parts as (select key, case when len(p) > 1 then list_transform(p{first}, lambda x, i: head || ' 第' || i || '款 ' || x) when len(p) = 1 then [head || ' ' || p[1]] else [head] end as s from p),
+      pieces as (select key, (generate_subscripts(s, 1) - 1)::int as n, unnest(s) as segment from parts)"""
+
+
+def _segments_sql() -> str:
+    vector = lambda c: f"list_transform(range({DIM}), lambda d: len(list_filter(list_transform(string_split({c}, ''), lambda x: unicode(x) % {DIM}), lambda r: r = d))::double)"
+    return f"""pool as (select qid, key from words where rank <= {POOL}), pooled as (select * from clauses where key in (select key from pool)), {_parts_sql(segments.MOST_SEGMENTS, 'pooled')},
+      embedded as (select key, {vector('segment')} as v from pieces), asked as (select item_id as qid, {vector("coalesce(question, '')")} as q from eval_queries),
+      best as (select p.qid, p.key, max(round(list_cosine_similarity(q, v), 6)) as score from pool p join asked a on p.qid = a.qid join embedded e on p.key = e.key group by all),
+      reranked as (select qid, key, row_number() over (partition by qid order by score desc, key) as rank, score from best)"""
+
+
 SQL = {
     "term_build": f"with {_terms_sql()} select qid, term, weight, kind, min_df from terms",
     "df_band": f"with {_bm25_sql()} select qid, term, df, used from band",
@@ -247,9 +290,11 @@ SQL = {
       select * from (select qid, row_number() over (partition by qid order by rrf desc, key) as rank, key, bm25, cosine, rrf from fused) where rank <= 20""",
     "rrf_multiroute": f"""select * from (select qid, row_number() over (partition by qid order by rrf desc, key) as rank, key, rrf from (
       select qid, key, round(sum(1.0::double / ({fusion.RRF_K} + rank)), 9) as rrf from ({' union all '.join(_route(c) for c in ('question', 'passage', 'note'))}) group by qid, key)) where rank <= 20""",
-    "segment_rerank": f"""with {_QUESTION_VECTORS}, {_VECTORS},
-      best as (select qid, split_part(key, '#', 1) as file, max(score) as score from hits where rank <= {fusion.CANDIDATES} group by all)
-      select * from (select qid, file, row_number() over (partition by qid order by score desc, file) as rank, score from best) where rank <= 20""",
+    "segment_rerank": f"""with {_bm25_sql()}, {_segments_sql()} select qid, key, rank, score from reranked""",
+    "rerank_fusion": f"""with {_bm25_sql()}, {_segments_sql()},
+      head as (select w.qid, w.key, w.rank, row_number() over (partition by w.qid order by r.score desc nulls last, w.rank) as new from words w left join reranked r on w.qid = r.qid and w.key = r.key where w.rank <= {POOL})
+      select qid, key, row_number() over (partition by qid order by round(-(1.0::double / (60 + rank) + 1.0::double / (60 + new)), 12), rank) as rank from head
+      union all select qid, key, rank from words where rank > {POOL} and rank <= {2 * POOL}""",
     "segment_lines": rf"""with {_marks_sql()},
       units as (select doc_id, unit, string_agg(case when s <> '' then s end, ' ' order by i) as body from state group by all)
       select st.doc_id, regexp_extract(x, '^{_BL}*({_NB}+)', 1) as article,
@@ -266,10 +311,5 @@ SQL = {
     "hits_by_kind": _POSITIONS + "select kind, count(*) as questions, sum((coalesce(first, 1000000000) <= 8)::bigint)::bigint as hits from found join eval_queries q on found.qid = q.item_id group by kind",
     "hit_histogram": _POSITIONS + "select first, count(*) as questions from found group by first",
     "unknown_answers": f"with {CLAUSES_SQL} select qid, u.law as law, u.article as article from (select item_id as qid, unnest(must_include) as u from eval_queries) w where not exists (select 1 from clauses c where c.title = w.u.law and c.article = w.u.article)",
-    "clause_paragraphs": rf"""with {CLAUSES_SQL},
-      l as (select key, concat_ws(' ', coalesce(title, ''), coalesce(article, '')) as head, list_filter(list_transform(regexp_split_to_array(coalesce(body, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'),
-              lambda x: {_STRIP}), lambda x: x <> '' and not starts_with(x, '#')) as l from all_clauses),
-      p as (select key, head, list_filter(string_split(array_to_string(list_transform(l, lambda x, i: case when i = 1 then x when regexp_matches(x, '{segments.ITEM}') then ' ' || x else chr(10) || x end), ''), chr(10)), lambda x: x <> '') as p from l),
-      s as (select key, case when len(p) > 1 then list_transform(p[:{segments.MOST_SEGMENTS}], lambda x, i: head || ' 第' || i || '款 ' || x) when len(p) = 1 then [head || ' ' || p[1]] else [head] end as s from p)
-      select key, (generate_subscripts(s, 1) - 1)::int as n, unnest(s) as segment from s""",
+    "clause_paragraphs": f"with {CLAUSES_SQL}, {_parts_sql(None, 'all_clauses')} select key, n, segment from pieces",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -30,12 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a local one set, as in tests."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a local master may do without: it gets a
+    folder of its own. On a cluster a folder of one machine would not do, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = held.get() if held.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lawmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -45,10 +49,17 @@ def _stage_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lawmill-{spark.sparkContext.applicationId}"
 
 
+_clearing: set[str] = set()
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives the loss of executors,
-    and is computed once however often it is used. The table stays until clear_staged or the folder's owner drops it."""
+    and is computed once however often it is used. The table stays until clear_staged, which runs at the latest when the
+    driver's Python ends: a result that is not yet written may need it."""
     spark = df.sparkSession
+    if spark.sparkContext.applicationId not in _clearing:
+        _clearing.add(spark.sparkContext.applicationId)
+        atexit.register(clear_staged, spark)
     path = f"{_stage_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,6 +67,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def clear_staged(spark: SparkSession) -> None:
     """Drop the tables this application staged; results that were not written elsewhere become unreadable."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -112,3 +112,13 @@ def test_index_state(spark, rows):
     assert rows(audit.gate(diff, cover)) == [("stale", 3, False, "conditional")]
     assert rows(audit.gate(diff.limit(0), cover)) == [("uncovered", 0, False, "allowed")] and rows(audit.gate(diff.limit(0), audit.coverage(old, old))) == [("valid", 0, True, "allowed")]
     assert rows(audit.gate(diff, cover, enabled=False))[0][0] == "disabled" and rows(audit.gate(diff, cover, present=False))[0][0] == "missing"
+
+
+def test_a_void_mark_is_no_part_of_an_official_title(spark, tmp_path):
+    from lawmill.plans.catalogs import catalog_match
+
+    spark.createDataFrame([("2026-01", "甲<b>法</b>（失效）", "法律", "x", "已失效", -1, "2001-01-01", "2001-02-01", None), ("2026-01", "乙法(已失效)", "法律", "x", "已失效", -1, "2002-01-01", None, None)],
+                          "snapshot string, title string, category string, issuer string, status string, status_code int, promulgated string, effective string, received_at timestamp").write.parquet(f"{tmp_path}/check_updates.parquet")
+    spark.createDataFrame([(1, "c/甲法（失效）_20010101.docx", None, None), (2, "c/乙法_20020101.docx", None, None), (3, "c/丙法_20020101.docx", None, None)], "row_id long, file string, retrieved string, loaded_at timestamp").write.parquet(f"{tmp_path}/build_from_downloads.parquet")
+    got = {r.file[2:4]: (r.how, r.layer) for r in catalog_match(spark, str(tmp_path)).collect()}
+    assert got == {"甲法": ("exact", "historical"), "乙法": ("exact", "historical"), "丙法": ("none", "current")}

@@ -41,14 +41,14 @@ def test_bm25_against_plain_python(spark):
     rng = random.Random(1)
     docs = [(f"k{i}", "".join(rng.choices("甲乙丙", k=3)), "".join(rng.choices("甲乙丙丁戊", k=rng.randrange(0, 40)))) for i in range(120)]
     terms = [(q, t, 0.5, kind, floor) for q in (1, 2) for t, kind, floor in (("甲甲", "gram", 2), ("乙丙", "phrase", 1), ("丙丁", "gram", 2), ("甲乙丙", "expansion", 1), ("庚", "gram", 1))]
-    got = B.bm25(spark.createDataFrame(docs, "key string, title string, body string"), spark.createDataFrame(terms, "qid int, term string, weight double, kind string, min_df int"))
+    got = B.bm25(spark.createDataFrame(docs, "key string, title string, body string").withColumn("article", F.lit("a")), spark.createDataFrame(terms, "qid int, term string, weight double, kind string, min_df int"))
     got = {(r.qid, r.key): r.score for r in got.collect()}
     want = plain_bm25(docs, terms)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
 def test_bm25_nulls_and_empty(spark, rows):
-    docs = spark.createDataFrame([("a", None, "甲乙"), ("b", "x", None)], "key string, title string, body string")
+    docs = spark.createDataFrame([("a", None, "甲乙", None), ("b", "x", None, "y")], "key string, title string, body string, article string")
     terms = spark.createDataFrame([(1, "甲乙", 1.0, "phrase", 1)], "qid int, term string, weight double, kind string, min_df int")
     assert [r.key for r in B.bm25(docs, terms).collect()] == ["a"]
     assert rows(B.bm25(docs.limit(0), terms)) == [] and rows(B.bm25(docs, terms.limit(0))) == []
@@ -122,3 +122,59 @@ def test_evaluation(spark, rows):
     assert set(rows(E.mean_reciprocal_rank(pos))) == {(8, 0.375), (20, 0.375)} and rows(E.hit_histogram(pos)) == [(2, 1), (4, 1)]
     corpus = spark.createDataFrame([("L", "1")], "law string, article string")
     assert rows(E.unknown_answers(q, corpus)) == [(1, "L", "2"), (2, "L", "9")]
+
+
+def test_ranks_without_sorting_the_whole(spark):
+    rng = random.Random(4)
+    scores = [(q, f"k{i:03d}", rng.choice(["t", None, "u"]), rng.choice(["a", "b"]), float(rng.randrange(30))) for q in range(3) for i in range(200)]
+    df = spark.createDataFrame(scores, "qid int, key string, title string, article string, score double")
+    wanted = [(q, f"k{rng.randrange(260):03d}") for q in range(4) for _ in range(40)]
+    whole = {(r.qid, r.key): r["rank"] for r in B.ranked(df, 10**6).collect()}
+    got = {(r.qid, r.key): r["rank"] for r in B.ranks_of(df, spark.createDataFrame(wanted, "qid int, key string").distinct()).collect()}
+    assert got == {k: whole[k] for k in wanted if k in whole}
+
+
+def test_routes_in_one_pass_equal_routes_alone(spark):
+    docs = spark.createDataFrame([("a", "甲法", "一", "甲乙丙甲乙"), ("b", "乙法", "二", "乙丙"), ("c", None, None, "甲")], "key string, title string, article string, body string")
+    terms = [(1, "r", "甲乙", 1.0, "phrase", 1), (1, "s", "乙丙", 0.5, "phrase", 1), (2, "s", "甲", 0.5, "phrase", 1), (1, "s", "甲乙", 0.3, "phrase", 1)]
+    df = spark.createDataFrame(terms, "qid int, route string, term string, weight double, kind string, min_df int")
+    both = {(r.qid, r.route, r.key): r.score for r in B.bm25(docs, df, ("qid", "route")).collect()}
+    alone = {(r.qid, x, r.key): r.score for x in "rs" for r in B.bm25(docs, df.filter(F.col("route") == x).drop("route")).collect()}
+    assert both == alone and len(both) == 5
+
+
+def test_many_terms_in_several_passes(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"k{i}", "甲", "一", chr(0x4E00 + i) + chr(0x4E01 + i)) for i in range(60)], "key string, title string, article string, body string")
+    df = spark.createDataFrame([(1, chr(0x4E00 + i), 1.0, "phrase", 1) for i in range(60)], "qid int, term string, weight double, kind string, min_df int")
+    whole = sorted((r.key, r.score) for r in B.bm25(docs, df).collect())
+    monkeypatch.setattr(B, "TERMS_AT_ONCE", 20)
+    assert sorted((r.key, r.score) for r in B.bm25(docs, df).collect()) == whole and len(whole) == 60
+
+
+def test_the_best_of_a_partition_over_its_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"k{i:04d}", [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(500)]
+    index = spark.createDataFrame(rows, "key string, vec array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = [(r.key, r.score) for r in fusion.vector_search(spark.createDataFrame([(1, [1.0, 2.0, 0.5]), (2, None)], "qid int, vec array<double>"), index, 3, 9).orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    q = np.array([1.0, 2.0, 0.5])
+    want = sorted((-round(float(q @ v / np.linalg.norm(q) / np.linalg.norm(v)), 6), k) for k, v in rows if any(v))[:9]
+    assert [k for k, _ in got] == [k for _, k in want]
+
+
+def test_segments_are_scored_one_by_one(spark):
+    body = "\n".join(["甲甲甲甲", "（一）乙", "丙丙丙丁", *["戊"] * 9])
+    docs = spark.createDataFrame([("a", "题", "条", body), ("b", "题", "条", "甲丙戊"), ("c", None, None, None)], "key string, title string, article string, body string")
+    every = docs.select(F.size(segments.paragraphs(F.col("body"), F.lit("h"))).alias("n"), F.size(segments.paragraphs(F.col("body"), F.lit("h"), 8)).alias("m")).collect()
+    assert [tuple(r) for r in every] == [(11, 8), (1, 1), (1, 1)]
+    pool = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3), (2, "b", 1)], "qid int, key string, rank int")
+    q = spark.createDataFrame([(1, "丙丙丁"), (2, "")], "qid int, text string")
+    hits = fusion.segment_scores(pool, q, docs, segments.paragraphs(F.col("body"), F.lit("")), lambda c: fusion.char_histogram(c, 64))
+    assert hits.filter("key = 'a'").count() == 11
+    best = {(r.qid, r.key): r["rank"] for r in fusion.best_segment(hits.filter("score is not null"), "key", 5).collect()}
+    assert best[1, "a"] == 1
+    fused = fusion.rerank_head(pool, spark.createDataFrame([(1, "b", 0.9), (1, "a", 0.1)], "qid int, key string, score double"), 2, "replace")
+    assert [(r.qid, r.key) for r in fused.orderBy("qid", "rank").collect()] == [(1, "b"), (1, "a"), (1, "c"), (2, "b")]
