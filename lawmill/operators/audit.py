@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +44,49 @@ def fingerprint(rows: DataFrame, *values: Column) -> DataFrame:
     return level.agg(F.concat(F.lit("sha256:"), F.sha2(listed, 256)).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("rows"))
 
 
-def exact_fingerprint(hashes: DataFrame) -> DataFrame:
-    """One row (fingerprint): SHA-256 over the canonical JSON of all {hash, key} sorted by key and hash. All rows meet in
-    one task, so this is for corpora of bounded size whose fingerprint others must reproduce."""
-    rows = F.array_sort(F.collect_list(F.struct("key", "hash")))
-    return hashes.agg(digest(F.to_json(F.transform(rows, lambda r: F.struct(r["hash"].alias("hash"), r["key"].alias("key"))))).alias("fingerprint"))
+def exact_fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
+    """One row (fingerprint, rows): SHA-256 over the canonical JSON of all rows as objects of the columns, sorted by key and
+    then by the others. Such a value is made one row after the other, so one task reads all rows; it sorts them on
+    disk and holds none. Where nobody else must reproduce the value, fingerprint does without that."""
+    names = sorted(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest_, n = hashlib.sha256(b"["), 0
+        for pdf in batches:
+            for line in pdf["line"]:
+                digest_.update((b"," if n else b"") + line.encode())
+                n += 1
+        digest_.update(b"]")
+        yield pd.DataFrame({"fingerprint": ["sha256:" + digest_.hexdigest()], "rows": [n]})
+
+    order = ["key", *(c for c in names if c != "key")]
+    lines = rows.select(*order).repartition(1).sortWithinPartitions(*order).select(F.to_json(F.struct(*names)).alias("line"))
+    none = F.lit("sha256:" + hashlib.sha256(b"[]").hexdigest())
+    made = lines.mapInPandas(run, "fingerprint string, rows long")  # no row where Spark sees that there is nothing to do
+    return made.agg(F.coalesce(F.max("fingerprint"), none).alias("fingerprint"), F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+
+
+def index_status(enabled: bool, present: bool, verified: Column, changed: Column, share: Column, least: float = 0.99) -> Column:
+    """disabled, missing, unverified (no hashes compared yet), stale, uncovered or valid."""
+    if not enabled or not present:
+        return F.lit("disabled" if not enabled else "missing")
+    return F.when(~verified, "unverified").when(changed > 0, "stale").when(share < least, "uncovered").otherwise("valid")
+
+
+def audit_report(candidates: DataFrame, state: DataFrame, layers: tuple[str, ...]) -> DataFrame:
+    """qid, audit: what was searched and how far it may be trusted, as JSON with stage, retrieval, index, verification and
+    answer_gate. candidates: qid, candidates (how many); state: one row status, changed_clauses, as gate gives it.
+    The changed clauses are counted; index_diff lists them."""
+    rows = candidates.crossJoin(F.broadcast(state))  # one row
+    uses = F.col("status") == "valid"
+    return rows.select("qid", F.to_json(F.struct(
+        F.when((F.col("candidates") > 0) | uses, "retrieved").otherwise("no_results").alias("stage"),
+        F.struct(F.array(*[F.lit(x) for x in layers]).alias("layers"), F.when(uses, "bm25_vector_rrf").otherwise("bm25").alias("method"), F.col("candidates").alias("candidate_count"),
+                 F.lit(any(x != "current" for x in layers)).alias("historical_included")).alias("retrieval"),
+        F.struct(F.col("status"), (F.col("changed_clauses") == 0).alias("hash_match"), F.col("changed_clauses")).alias("index"),
+        F.struct(F.lit(False).alias("metadata_checked"), F.lit(False).alias("live_checked")).alias("verification"),
+        F.struct(F.when(F.col("status").isin("stale", "missing", "disabled"), "conditional").otherwise("allowed").alias("status"), F.lit(True).alias("allowed"), F.lit("retrieval_audit_only").alias("reason")).alias("answer_gate"),
+    )).alias("audit"))
 
 
 def index_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -68,6 +110,6 @@ def gate(changed: DataFrame, share: DataFrame, enabled: bool = True, present: bo
     vectors are used, and the answer gate ('conditional' unless the index is in use or merely uncovered)."""
     n = changed.agg(F.count("*").alias("changed_clauses")).select("changed_clauses", F.lit(None).cast("double").alias("share"))
     both = n.unionByName(share.select(F.lit(None).cast("long").alias("changed_clauses"), F.col("share").cast("double"))).agg(F.max("changed_clauses").alias("changed_clauses"), F.max("share").alias("share"))
-    status = F.lit("disabled") if not enabled else F.lit("missing") if not present else F.when(F.col("changed_clauses") > 0, "stale").when(F.col("share") < least, "uncovered").otherwise("valid")
+    status = index_status(enabled, present, F.lit(True), F.col("changed_clauses"), F.col("share"), least)
     rows = both.withColumn("status", status)
     return rows.select("status", "changed_clauses", (F.col("status") == "valid").alias("uses_vectors"), F.when(F.col("status").isin("stale", "missing", "disabled"), "conditional").otherwise("allowed").alias("answer_gate"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lawmill.functions.titles import short_title
+from lawmill.functions.titles import norm_title, short_title
 from lawmill.operators.catalog import first_by
 
 # The display order of categories.
@@ -90,3 +90,49 @@ def rewrite_list(c: Column, most: int) -> Column:
     loose = F.transform(parts, lambda x: F.regexp_replace(x, f"^{edge}|{edge}$", ""))
     ok = parsed.isNotNull() & ~F.exists(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: x.isNull())
     return F.slice(F.when(ok, listed).otherwise(loose), 1, most)
+
+
+# The codes of categories whose texts are fetched together; all others are the first group.
+GROUPS = {"行政法规": (210, 215, 220), "司法解释": (320, 330, 340, 350), "地方法规": (230, 260, 270, 290, 295, 300, 305, 310)}
+FIRST_GROUP = "法律语料"
+AMENDED = "修正文本|修正案"
+
+
+def group_of(code: Column) -> Column:
+    """The group of a category code; null and unknown codes belong to the first."""
+    out = F.lit(FIRST_GROUP)
+    for name, codes in GROUPS.items():
+        out = F.when(code.isin(*codes), name).otherwise(out)
+    return out
+
+
+def group_position(group: Column) -> Column:
+    return F.array_position(F.array(*[F.lit(g) for g in (FIRST_GROUP, *GROUPS)]), group).cast("int")
+
+
+def checklist(rows: DataFrame, status_names: dict[int, str]) -> DataFrame:
+    """What a catalog wants kept: title, category, promulgated, effective, status, issuer of its rows (the same, and
+    status_code). Of constitutions only amended texts and amendments; null texts are ''; an unknown status says so."""
+    kept = rows.filter((F.coalesce("category", F.lit("")) != "宪法") | F.col("title").rlike(AMENDED))
+    named = F.concat(F.lit("未知("), F.coalesce(F.col("status_code").cast("string"), F.lit("None")), F.lit(")"))
+    for code, name in status_names.items():
+        named = F.when(F.col("status_code") == code, name).otherwise(named)
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
+    return kept.select("title", "category", text("promulgated"), text("effective"), named.alias("status"), text("issuer"))
+
+
+def title_index(nodes: DataFrame, folders: list[str]) -> DataFrame:
+    """title, date, year, path, size of the markdown files one level below the named folders of a source tree (path, type,
+    size). The title is the file's name in normal form without its date (YYYY-MM-DD) at the end; names without a date may
+    hold a year; names that start with an underscore are left out."""
+    parts, stem = F.split("path", "/"), F.regexp_extract("path", r"^[^/]+/(.*)\.md$", 1)
+    dated = r"\((\d{4}-\d{2}-\d{2})\)$"
+    found = nodes.filter((F.col("type") == "blob") & F.endswith("path", F.lit(".md")) & (F.size(parts) == 2) & parts[0].isin(*folders) & ~F.startswith(parts[1], F.lit("_")))
+    date = F.nullif(F.regexp_extract(stem, dated, 1), F.lit(""))
+    year = F.when(date.isNull(), F.nullif(F.regexp_extract(stem, r"[（(](\d{4})年[)）]", 1), F.lit("")))
+    return found.select(norm_title(F.trim(F.regexp_replace(stem, dated, ""))).alias("title"), date.alias("date"), year.alias("year"), "path", F.coalesce("size", F.lit(0)).alias("size"))
+
+
+def stale_files(existing: DataFrame, kept: DataFrame) -> DataFrame:
+    """Files (file) of folders below the root that a manifest no longer lists; files at the root are left alone."""
+    return existing.select("file").filter(F.contains("file", F.lit("/"))).distinct().join(kept.select("file"), "file", "left_anti")

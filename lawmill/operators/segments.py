@@ -105,3 +105,20 @@ def hits_per_text(df: DataFrame, key: str, text: str, terms: list[str], any_term
         F.col("key").alias(key), (F.col("i") + F.col("_offset") + 1).cast("int").alias("line"),
         F.when(F.length(line) > width, F.concat(F.left(line, F.lit(width)), F.lit("…"))).otherwise(line).alias("text"), F.coalesce(F.try_element_at(above, F.lit(-1)), F.lit("")).alias("label"),
     )
+
+
+def article_blocks(df: DataFrame, key: str, text: str, article: Column, terms: list[str] | None = None) -> DataFrame:
+    """key, line, block: of each text the first line that begins with the article's label and what follows up to the next
+    article, if the block holds all terms. Texts without the article give no row; null and empty texts neither."""
+    lines, offset = body_lines(F.col(text))
+    near = df.filter(F.contains(F.col(text), article))  # before lines are cut
+    cut = near.select(F.col(key).alias("key"), article.alias("_article"), F.explode(F.array(lines)).alias("_lines"), offset.alias("_offset"))
+    first = F.array_min(F.filter(F.transform("_lines", lambda x, i: F.when(F.startswith(x, F.col("_article")), i)), lambda i: i.isNotNull()))
+    found = cut.select("key", "_lines", "_offset", F.explode(F.array(first)).alias("_at")).filter("_at is not null")
+    rest = F.slice("_lines", F.col("_at") + 2, F.size("_lines"))
+    ends = F.array_min(F.filter(F.transform(rest, lambda x, i: F.when(x.rlike(ARTICLE), i)), lambda i: i.isNotNull()))
+    block = stripped(F.array_join(F.slice("_lines", F.col("_at") + 1, F.coalesce(ends, F.size(rest)) + 1), "\n"))
+    out = found.select(F.col("key").alias(key), (F.col("_at") + F.col("_offset") + 1).cast("int").alias("line"), block.alias("block"))
+    for t in terms or ():
+        out = out.filter(F.contains("block", F.lit(t)))
+    return out

@@ -1,8 +1,9 @@
 """What changed between consecutive full snapshots of a table.
 
-Only compact rows travel: a snapshot number, a 128-bit key hash and a 64-bit row hash. They are grouped into hash
+Compact rows travel: a snapshot number, a 128-bit key hash and a 64-bit row hash. They are grouped into hash
 buckets; inside a bucket numpy sorts them and takes set differences of neighbouring snapshots with searchsorted.
-Full values are fetched afterwards for the keys that differ.
+Full values are fetched afterwards for the keys that differ: of the other keys no value is shuffled while Spark can
+broadcast the differing ones (its own size limit), beyond that its joins filter or sort both sides.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lawmill.functions.text import wide_hash
-from lawmill.session import parallelism
+from lawmill.session import parallelism, staged
 
 #: Compact rows that one bucket should hold: 36 bytes each in numpy.
 ROWS_PER_BUCKET = 400_000
@@ -109,21 +110,26 @@ def snapshot_changes(
         "snap", F.row_number().over(W.orderBy("snap")).alias("sid"), F.count("*").over(W.partitionBy()).cast("int").alias("n")
     )
     compact = keyed.groupBy("snap", "k1", "k2").agg(F.max(F.struct("at", "row_hash")).alias("last")).select("snap", "k1", "k2", "last.row_hash")
+    compact = staged(compact, "compact")
     if buckets is None:
-        buckets = max(parallelism(spark), -(-df.count() // ROWS_PER_BUCKET))
+        buckets = max(parallelism(spark), -(-compact.count() // ROWS_PER_BUCKET))
     diffs = (
         compact.join(numbered, "snap")
         .select("sid", "n", "k1", "k2", "row_hash", F.pmod("k1", F.lit(buckets)).alias("bucket"))
         .groupBy("bucket")
         .applyInPandas(lambda pdf: diff_bucket(pdf), _DIFF)
     )
+    # staged, so that Spark knows its size: while it is small the values of other keys are left behind before any shuffle
+    diffs = staged(diffs, "diffs")
     wanted = diffs.select("sid", "k1", "k2", "change", F.explode(F.array(
         F.struct(F.lit(True).alias("now"), F.col("sid").alias("at_sid"), F.col("now_hash").alias("row_hash")),
         F.struct(F.lit(False).alias("now"), (F.col("sid") - 1).alias("at_sid"), F.col("was_hash").alias("row_hash")),
     )).alias("x")).select("sid", "k1", "k2", "change", "x.*").filter("row_hash is not null")
-    values = keyed.join(numbered.select("snap", F.col("sid").alias("at_sid")), "snap").select("at_sid", "k1", "k2", "row_hash", "key", "v")
+    keys = diffs.select("k1", "k2").distinct()
+    held = keyed.join(keys, ["k1", "k2"], "left_semi").join(numbered.select("snap", F.col("sid").alias("at_sid")), "snap")
+    values = held.groupBy("at_sid", "k1", "k2", "row_hash").agg(F.min(F.struct("key", "v")).alias("x"))
     full = wanted.join(values, ["at_sid", "k1", "k2", "row_hash"]).groupBy("sid", "k1", "k2", "change").agg(
-        F.min("key").alias("key"), F.max(F.when(F.col("now"), F.col("v"))).alias("new"), F.max(F.when(~F.col("now"), F.col("v"))).alias("old")
+        F.min("x.key").alias("key"), F.max(F.when(F.col("now"), F.col("x.v"))).alias("new"), F.max(F.when(~F.col("now"), F.col("x.v"))).alias("old")
     )
     sides = [F.col(f"{s}.{n}").alias(f"{p}_{n}") for n in compare for s, p in (("old", "was"), ("new", "now"))]
     return full.join(numbered.select("sid", "snap"), "sid").select(F.col("snap").alias(snapshot), F.col("key").alias(key_name), "change", *sides)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawmill.functions import numerals, titles
 from lawmill.functions.hashing import clause_json, digest
 from lawmill.functions.text import iso_date, plain_title
-from lawmill.operators import audit, catalog
+from lawmill.operators import audit, catalog, listing
 from lawmill.plans.common import CLAUSES_SQL, EXPANSIONS, LAWS_SQL, clauses, latest_laws
+from lawmill.plans.retrieval import _bm25_sql, word_scores
 from lawmill.plans.tracking import _sql_day
 from lawmill.session import staged, table
 
@@ -148,6 +151,13 @@ def corpus_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return audit.fingerprint(clauses(spark, d, None), F.col("key"), F.col("title"), F.col("article"), F.col("body"), F.col("status"), F.col("layer"))
 
 
+def exact_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """The values that other implementations of the same audit reproduce: of the corpus, and of status and layer alone."""
+    rows = staged(audit.clause_hashes(clauses(spark, d, None)), "hashes")
+    corpus, metadata = audit.exact_fingerprint(rows, "key", "hash"), audit.exact_fingerprint(rows, "key", "status", "layer")
+    return corpus.select(F.lit("corpus").alias("of"), "fingerprint", "rows").unionByName(metadata.select(F.lit("metadata").alias("of"), "fingerprint", "rows"))
+
+
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The clauses as first loaded, and as last loaded."""
     t = table(spark, d, "audit_state").filter("file is not null and line is not null")
@@ -171,6 +181,32 @@ def audit_gate(spark: SparkSession, d: str) -> DataFrame:
     return audit.gate(index_diff(spark, d), index_coverage(spark, d))
 
 
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    hits = word_scores(spark, d).groupBy("qid").agg(F.count("*").alias("candidates"))
+    asked = table(spark, d, "eval_queries").select(F.col("item_id").alias("qid")).join(hits, "qid", "left").select("qid", F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return audit.audit_report(asked, audit_gate(spark, d), ("current",))
+
+
+def checklist(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "check_updates")
+    rows = t.join(F.broadcast(t.agg(F.max("snapshot").alias("s"))), t["snapshot"] == F.col("s"))  # one row
+    rows = rows.select(titles.clean_title(F.col("title")).alias("title"), "category", "promulgated", "effective", "issuer", "status_code").filter("title <> ''")
+    return listing.checklist(rows, catalog.STATUS_NAME).groupBy("title", "category", "promulgated", "effective", "status", "issuer").agg(F.count("*").alias("n"))
+
+
+def source_index(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the manifest as a source tree that carries the date in brackets."""
+    path = F.regexp_replace(F.regexp_replace("file", "^corpus/", ""), r"_(\d{4})(\d{2})(\d{2})\.md$", "($1-$2-$3).md")
+    nodes = latest_laws(spark, d).select(path.alias("path"), F.lit("blob").alias("type"), F.col("chars").alias("size"))
+    return listing.title_index(nodes, ["地方性法规", "行政法规", "自治条例"])
+
+
+def stale_files(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "build_from_downloads").filter("file is not null")
+    last = t.agg(F.max("retrieved").alias("r"))
+    return listing.stale_files(t, t.join(F.broadcast(last), t["retrieved"] == F.col("r")))  # one row
+
+
 # SQL -----------------------------------------------------------------------------------------------------------------
 
 _BL = r"[\s\x{1c}-\x{1f}\x{85}\pZ]"
@@ -213,7 +249,7 @@ _KEY = r"regexp_replace({}, '[\s　、·]+', '', 'g')"
 QUERIES = {f.__name__: f for f in (
     file_names, safe_stems, catalog_match, catalog_diff, latest_version, source_preference, dedup_first_wins, upsert_last_wins, title_score, html_strip, local_records,
     local_counts, top_regions, corpus_stats, expansion_check, snapshot_age, article_numerals, effective_backfill, doc_hash, clause_hash, corpus_fingerprint,
-    index_diff, index_coverage, audit_gate,
+    index_diff, index_coverage, audit_gate, exact_fingerprints, audit_report, checklist, source_index, stale_files,
 )}
 
 _STATES = r"""
@@ -240,7 +276,32 @@ def _han_int(c: str) -> str:
     return rf"case when regexp_matches({placed}, '^\d{{1,9}}$') then try_cast({placed} as int) when regexp_matches({c}, '{tens}') then {digit(1, 1)} * 10 + {digit(2, 0)} end"
 
 
+def _compat() -> tuple[str, str]:
+    """By rule: characters that NFKC turns into one other character, and NFC does not."""
+    found = {c: unicodedata.normalize("NFKC", c) for c in map(chr, range(0xA0, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.decomposition(c).startswith("<")}
+    one = {a: b for a, b in found.items() if len(b) == 1}
+    return "".join(one), "".join(one.values()).replace("'", "''")
+
+
+_nfkc = lambda c: f"replace(nfc_normalize(translate({c}, '{_compat()[0]}', '{_compat()[1]}')), chr(13) || chr(10), chr(10))"
+_NFKC = lambda c: f"case when regexp_full_match(coalesce({c}, ''), '[\\x20-\\x7e\\x{{3001}}-\\x{{3011}}\\x{{4e00}}-\\x{{9fff}}]*') then {_strip(c)} else {_strip(_nfkc(c))} end"
+_HASHES = f"""normal as (select {', '.join(f"{_NFKC(c)} as {c}" for c in ('title', 'article', 'body', 'status', 'layer', 'file'))} from all_clauses),
+hashes as (select title || '/' || article as key, status, layer, 'sha256:' || sha256(to_json({{'article': article, 'body': body, 'file': file, 'law': title, 'layer': layer, 'status': status}})::varchar) as hash from normal)"""
+_STATUS_SQL = "case status_code " + " ".join(f"when {k} then '{v}'" for k, v in catalog.STATUS_NAME.items()) + " else '未知(' || coalesce(status_code::varchar, 'None') || ')' end"
+
 SQL = {
+    "clause_hash": f"with {CLAUSES_SQL}, {_HASHES} select key, hash from hashes",
+    "exact_fingerprints": f"""with {CLAUSES_SQL}, {_HASHES}
+      select 'corpus' as of, 'sha256:' || sha256('[' || string_agg(to_json({{'hash': hash, 'key': key}})::varchar, ',' order by key, hash) || ']') as fingerprint, count(*) as rows from hashes
+      union all select 'metadata', 'sha256:' || sha256('[' || string_agg(to_json({{'key': key, 'layer': layer, 'status': status}})::varchar, ',' order by key, layer, status) || ']'), count(*) from hashes""",
+    "checklist": f"""with r as (select {_clean('title')} as title, category, promulgated, effective, issuer, status_code from check_updates where snapshot = (select max(snapshot) from check_updates))
+      select title, category, coalesce(trim(promulgated, ' '), '') as promulgated, coalesce(trim(effective, ' '), '') as effective, {_STATUS_SQL} as status, coalesce(trim(issuer, ' '), '') as issuer, count(*) as n
+      from r where title <> '' and (coalesce(category, '') <> '宪法' or regexp_matches(title, '修正文本|修正案')) group by all""",
+    "source_index": rf"""with {LAWS_SQL}, n as (select regexp_replace(regexp_replace(file, '^corpus/', ''), '_(\d{{4}})(\d{{2}})(\d{{2}})\.md$', '(\1-\2-\3).md') as path, coalesce(chars, 0) as size from laws),
+      s as (select *, regexp_extract(path, '^[^/]+/(.*)\.md$', 1) as stem from n where ends_with(path, '.md') and len(string_split(path, '/')) = 2 and split_part(path, '/', 1) in ('地方性法规', '行政法规', '自治条例') and not starts_with(split_part(path, '/', 2), '_')),
+      t as (select *, trim(regexp_replace(stem, '\((\d{{4}}-\d{{2}}-\d{{2}})\)$', ''), ' ') as name, nullif(regexp_extract(stem, '\((\d{{4}}-\d{{2}}-\d{{2}})\)$', 1), '') as date from s)
+      select {_strip(f"regexp_replace(regexp_replace({_clean('name')}, '^中华人民共和国', ''), '[（(][^（()）]*[)）]', '', 'g')")} as title, date, case when date is null then nullif(regexp_extract(stem, '[（(](\d{{4}})年[)）]', 1), '') end as year, path, size from t""",
+    "stale_files": "select distinct file from build_from_downloads where contains(file, '/') and file not in (select file from build_from_downloads where retrieved = (select max(retrieved) from build_from_downloads) and file is not null)",
     "file_names": f"with {LAWS_SQL}, {_FILES} select file, name as title, stamp as date, voided from files",
     "catalog_match": f"""with {LAWS_SQL}, {_FILES}, {_OFFICIAL},
       f as (select file, name as title, substr(stamp, 1, 4) || '-' || substr(stamp, 5, 2) || '-' || substr(stamp, 7, 2) as date, voided from files),
@@ -299,6 +360,14 @@ SQL = {
     "audit_gate": f"""with {_COVER}, {_STATES}, s as (select (select count(*) from diff) as changed_clauses, (select covered / greatest(keys, 1) from cover) as share),
       g as (select case when changed_clauses > 0 then 'stale' when share < 0.99 then 'uncovered' else 'valid' end as status, changed_clauses from s)
       select status, changed_clauses, status = 'valid' as uses_vectors, case when status = 'stale' then 'conditional' else 'allowed' end as answer_gate from g""",
+    "audit_report": f"""with {_bm25_sql()}, {_COVER.replace(CLAUSES_SQL + ',', '')}, {_STATES},
+      hits as (select qid, count(*) as n from scores group by qid), s as (select (select count(*) from diff) as changed, (select covered / greatest(keys, 1) from cover) as share),
+      g as (select case when changed > 0 then 'stale' when share < 0.99 then 'uncovered' else 'valid' end as status, changed from s)
+      select item_id as qid, to_json({{'stage': case when coalesce(h.n, 0) > 0 or status = 'valid' then 'retrieved' else 'no_results' end,
+        'retrieval': {{'layers': ['current'], 'method': case when status = 'valid' then 'bm25_vector_rrf' else 'bm25' end, 'candidate_count': coalesce(h.n, 0), 'historical_included': false}},
+        'index': {{'status': status, 'hash_match': changed = 0, 'changed_clauses': changed}}, 'verification': {{'metadata_checked': false, 'live_checked': false}},
+        'answer_gate': {{'status': case when status = 'stale' then 'conditional' else 'allowed' end, 'allowed': true, 'reason': 'retrieval_audit_only'}}}})::varchar as audit
+      from eval_queries q left join hits h on q.item_id = h.qid, g""",
     "article_numerals": f"""with n as (select distinct line, lpad(line::varchar, 4, '0') as t from audit_state where line between 1 and 9999),
       spoken as (select line, {' || '.join(f"case when t[{i}] = '0' then '零' else translate(t[{i}], '123456789', '一二三四五六七八九') || '{u}' end" for i, u in ((1, '千'), (2, '百'), (3, '十'), (4, '')))} as s from n),
       han as (select line, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '零+$', ''), '^零+', ''), '零+', '零', 'g'), '^一十', '十') as h from spoken)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lawmill.functions.numerals import article_label
 from lawmill.operators import bm25 as B
 from lawmill.operators import evaluation as E
 from lawmill.operators import fusion, segments
@@ -120,12 +121,15 @@ def hits_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def article_lookup(spark: SparkSession, d: str) -> DataFrame:
-    from lawmill.functions.numerals import article_label
-
     same = F.regexp_replace(F.regexp_replace("article", r"[\s\p{Z}]", ""), "^第(\\d+)条$", "$1")
     return clauses(spark, d).filter(article_label(same) == "第八条").select("title", "file", "line", "article")
 
 
+def article_blocks(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return segments.article_blocks(docs, "doc_id", "text", article_label(F.lit("8")), ["应当"])
+
+
 def layer_filter(spark: SparkSession, d: str) -> DataFrame:
     return clauses(spark, d, ("current", "historical")).groupBy("layer", "category").agg(F.count("*").alias("clauses"), F.sum(F.length(F.coalesce("body", F.lit("")))).alias("chars"))
 
@@ -250,7 +254,7 @@ _KS = "(values " + ", ".join(f"({k})" for k in E.KS) + ") ks(k)"
 
 QUERIES = {f.__name__: f for f in (
     term_build, df_band, bm25_topk, vector_topk, rrf_hybrid, rrf_multiroute, segment_rerank, rerank_fusion, segment_lines, clause_paragraphs, keyword_all, keyword_any,
-    hits_per_doc, article_lookup, layer_filter, recall_at_k, mrr, hits_by_kind, hit_histogram, unknown_answers,
+    hits_per_doc, article_lookup, article_blocks, layer_filter, recall_at_k, mrr, hits_by_kind, hit_histogram, unknown_answers,
 )}
 
 
@@ -304,6 +308,10 @@ SQL = {
     "keyword_any": f"with {_hits_sql(['食品', '燃气'], True)} select doc_id, line, text, label from found where rn <= 3",
     "hits_per_doc": f"with {_hits_sql(['食品', '燃气'], True)} select doc_id, count(*) as hits, min(line) as first_line from found where rn <= 3 group by doc_id",
     "article_lookup": rf"with {CLAUSES_SQL} select title, file, line, article from clauses where regexp_replace(article, '[\s\pZ]', '', 'g') in ('第八条', '第8条', '8', '八', '8条', '八条')",
+    "article_blocks": rf"""with {_LINES}, starts as (select doc_id, min(i) as first from lines where starts_with(x, '第八条') group by doc_id),
+      ends as (select s.doc_id, first, coalesce(min(l.i), 1000000000) as last from starts s left join lines l on s.doc_id = l.doc_id and l.i > first and regexp_matches(x, '^第{_NUM}+{_BL}*条') group by all),
+      blocks as (select e.doc_id, first::int as line, string_agg(x, chr(10) order by i) as x from ends e join lines l on e.doc_id = l.doc_id and i >= first and i < last group by all)
+      select doc_id, line, {_STRIP} as block from blocks where contains(x, '应当')""",
     "layer_filter": f"with {CLAUSES_SQL} select layer, category, count(*) as clauses, sum(length(coalesce(body, ''))) as chars from all_clauses where coalesce(layer, 'current') in ('current', 'historical') group by all",
     "recall_at_k": _POSITIONS + f"""select k, round(sum(len(list_filter(coalesce(positions, []), lambda p: p <= k))) / sum(must), 6) as recall,
       round(avg((coalesce(first, 1000000000) <= k)::int), 6) as hit, round(avg((len(coalesce(positions, [])) = must and list_max(positions) <= k)::int), 6) as all_hit from found, {_KS} group by k""",

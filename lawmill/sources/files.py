@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lawmill.functions.text import stripped
 from lawmill.functions.titles import yaml_value
 
 MANIFEST = (
@@ -30,6 +32,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return m.select("retrieved", F.explode("laws").alias("law")).select("retrieved", "law.*")
 
 
+def read_expansions(spark: SparkSession, path: str) -> DataFrame:
+    """key, value of a JSON file {key: [values]}: keys that start with an underscore are comments, values that are no lists
+    and entries that are no texts are left out."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "raw"))
+    return entries.filter("not startswith(key, '_') and startswith(raw, '[')").select("key", F.explode(F.from_json("raw", "array<string>")).alias("value")).filter("value is not null")
+
+
+def expansion_map(expansions: DataFrame) -> dict[str, list[str]]:
+    """Expansions (key, value) as the configuration that term building takes."""
+    out: dict[str, list[str]] = {}
+    for r in expansions.orderBy("key", "value").collect():
+        out.setdefault(r.key, []).append(r.value)
+    return out
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -63,6 +80,22 @@ def render_markdown(fields: dict[str, Column], title: Column, notes: Column, bod
     return F.concat_ws("\n", head, F.lit(""), F.concat(F.lit("# "), title), F.array_join(F.transform(notes, lambda x: F.concat(F.lit("> "), x)), "\n"), F.array_join(lines, "\n"))
 
 
+# Fixed value: what parts a source text's notes from its body.
+INFO_MARK = "<!-- INFO END -->"
+
+
+def split_info_block(text: Column) -> tuple[Column, Column]:
+    """The notes before the mark and the body after it, both without blanks at the ends; without a mark all is body."""
+    has, at = F.contains(text, F.lit(INFO_MARK)), F.position(F.lit(INFO_MARK), text)
+    notes = F.when(has, stripped(F.substr(text, F.lit(1), at - 1))).otherwise("")
+    return notes, stripped(F.when(has, F.substr(text, at + len(INFO_MARK))).otherwise(text))
+
+
+def without_heading(text: Column) -> Column:
+    """A text without a first line that is a heading of the first level."""
+    return stripped(F.regexp_replace(text, r"\A# [^\n]*(?:\n|\z)", ""))
+
+
 def _archive_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"], strict=True):
@@ -72,17 +105,18 @@ def _archive_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for info in z.infolist():
                         if not info.is_dir():
                             name = info.filename.rsplit("/", 1)[-1]
-                            rows.append((path, name, "." + name.rsplit(".", 1)[-1].lower() if "." in name else "", z.read(info)))
-            except zipfile.BadZipFile:
-                rows = []
+                            rows.append((path, name, "." + name.rsplit(".", 1)[-1].lower() if "." in name else "", z.read(info), None))
+            except (zipfile.BadZipFile, zlib.error, EOFError) as e:
+                rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
             if rows:
-                yield pd.DataFrame(rows, columns=["archive", "name", "ext", "content"])
+                yield pd.DataFrame(rows, columns=["archive", "name", "ext", "content", "error"])
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """archive, name, ext (lower case), content of every file in the zip archives; broken archives give none."""
+    """archive, name, ext (lower case), content of every file in the zip archives; a broken archive gives the files before the
+    break and a row with nothing but its name and the error."""
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return zips.mapInPandas(_archive_members, "archive string, name string, ext string, content binary")
+    return zips.mapInPandas(_archive_members, "archive string, name string, ext string, content binary, error string")
 
 
 def paragraphs_of(content: bytes | None) -> list[str] | None:

@@ -94,7 +94,7 @@ def test_hashes_and_fingerprints(spark, rows):
     hashes = audit.clause_hashes(df)
     want = sorted(canonical(r)[:2] for r in TWO)
     assert rows(hashes, "key", "hash") == want
-    exact = audit.exact_fingerprint(hashes.select("key", "hash")).collect()[0][0]
+    exact = audit.exact_fingerprint(hashes, "key", "hash").collect()[0][0]
     assert exact == canonical(TWO[0])[2]([{"key": k, "hash": h} for k, h in want])
     mark = lambda d: audit.fingerprint(d, *[F.col(c) for c in d.columns]).collect()[0]
     assert mark(df) == mark(spark.createDataFrame(TWO[::-1], CLAUSES)) and mark(df)[1] == 2
@@ -122,3 +122,34 @@ def test_a_void_mark_is_no_part_of_an_official_title(spark, tmp_path):
     spark.createDataFrame([(1, "c/甲法（失效）_20010101.docx", None, None), (2, "c/乙法_20020101.docx", None, None), (3, "c/丙法_20020101.docx", None, None)], "row_id long, file string, retrieved string, loaded_at timestamp").write.parquet(f"{tmp_path}/build_from_downloads.parquet")
     got = {r.file[2:4]: (r.how, r.layer) for r in catalog_match(spark, str(tmp_path)).collect()}
     assert got == {"甲法": ("exact", "historical"), "乙法": ("exact", "historical"), "丙法": ("none", "current")}
+
+
+def test_exact_fingerprints_and_states(spark):
+    import hashlib
+    import json
+
+    from lawmill.operators import audit
+
+    rows = [("a/一", "h2"), ("a/一", "h1"), ("\"b\"/二", "h3")]
+    want = "sha256:" + hashlib.sha256(json.dumps([{"hash": h, "key": k} for k, h in sorted(rows)], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    for order in (rows, rows[::-1]):
+        got = audit.exact_fingerprint(spark.createDataFrame(order, "key string, hash string").repartition(3), "key", "hash").collect()
+        assert [tuple(r) for r in got] == [(want, 3)]
+    changed = audit.exact_fingerprint(spark.createDataFrame([("a/一", "h2"), ("a/一", "h1"), ("\"b\"/二", "h4")], "key string, hash string"), "key", "hash").first()[0]
+    assert changed != want and audit.exact_fingerprint(spark.createDataFrame([], "key string, hash string"), "key", "hash").first()[0] == "sha256:" + hashlib.sha256(b"[]").hexdigest()
+    old, new = spark.createDataFrame([("a", "1"), ("b", None)], "key string, hash string"), spark.createDataFrame([("a", "1"), ("b", "2")], "key string, hash string")
+    assert [tuple(r) for r in audit.index_diff(old.filter("hash is not null"), new).collect()] == [("b", "added")]  # a missing hash is stale
+    state = spark.createDataFrame([(True, 0, 1.0), (True, 2, 1.0), (True, 0, 0.5), (False, 0, 1.0)], "v boolean, n long, s double")
+    status = [r[0] for r in state.select(audit.index_status(True, True, F.col("v"), F.col("n"), F.col("s"))).collect()]
+    assert status == ["valid", "stale", "uncovered", "unverified"]
+    report = audit.audit_report(spark.createDataFrame([(1, 0)], "qid int, candidates long"), spark.createDataFrame([("unverified", 0)], "status string, changed_clauses long"), ("current", "historical")).first().audit
+    report = json.loads(report)
+    assert report["stage"] == "no_results" and report["retrieval"]["historical_included"] and report["answer_gate"]["status"] == "allowed" and report["index"]["hash_match"]
+
+
+def test_unknown_answers_are_listed(spark):
+    from lawmill.operators import evaluation
+
+    q = spark.createDataFrame([(1, [("甲法", "第一条"), ("甲法", "第九条")]), (2, None)], "qid int, must_include array<struct<law:string,article:string>>")
+    got = evaluation.unknown_answers(q, spark.createDataFrame([("甲法", "第一条"), (None, None)], "law string, article string")).collect()
+    assert [tuple(r) for r in got] == [(1, "甲法", "第九条")]

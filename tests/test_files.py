@@ -1,10 +1,12 @@
 import io
 import zipfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lawmill.functions.structure import document_heads
-from lawmill.sources import files
+from lawmill.sources import files, index
 from lawmill.streaming.ingest import event_windows, ingest_available
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -24,8 +26,10 @@ def test_archives_and_docx(spark, tmp_path):
         z.writestr("dir/甲_20200101.DOCX", one)
         z.writestr("bad.docx", b"no zip")
     (tmp_path / "b.zip").write_bytes(b"broken")
-    got = {r.name: (r.ext, r.p) for r in files.read_archives(spark, str(tmp_path)).withColumn("p", files.docx_paragraphs("content")).collect()}
-    assert got == {"甲_20200101.DOCX": (".docx", ["第一条 a&b", "第二条 x"]), "bad.docx": (".docx", None)}
+    found = files.read_archives(spark, str(tmp_path)).withColumn("p", files.docx_paragraphs("content")).collect()
+    assert {r.name: (r.ext, r.p) for r in found if r.error is None} == {"甲_20200101.DOCX": (".docx", ["第一条 a&b", "第二条 x"]), "bad.docx": (".docx", None)}
+    broken = [r for r in found if r.error]
+    assert len(broken) == 1 and broken[0].archive.endswith("b.zip") and broken[0].name is None and "BadZipFile" in broken[0].error
 
 
 def test_document_heads(spark):
@@ -79,3 +83,27 @@ def test_ingest_sees_each_file_once(spark, tmp_path):
 def test_event_windows(spark):
     df = spark.createDataFrame([("2026-01-01 00:01:00", "a", 1.0), ("2026-01-01 00:09:00", "a", 2.0), ("2026-01-01 00:11:00", "a", None)], "t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r.n, r.value) for r in event_windows(df).select("n", F.coalesce("value", F.lit(0.0)).alias("value")).collect()) == [(1, 0.0), (2, 3.0)]
+
+
+def test_expansions_and_notes(spark, tmp_path):
+    (tmp_path / "e.json").write_text('{"_c": ["no"], "缺": ["无", "短缺"], "text": "no list", "空": [], "n": [null, "甲"]}')
+    got = files.expansion_map(files.read_expansions(spark, str(tmp_path / "e.json")))
+    assert got == {"缺": ["无", "短缺"] if got["缺"][0] == "无" else ["短缺", "无"], "n": ["甲"]}
+    texts = [(1, "说明\n" + files.INFO_MARK + "\n# 题\n正文 "), (2, " # 题"), (3, "正文\n# 题"), (4, None)]
+    notes, body = files.split_info_block(F.col("t"))
+    rows = spark.createDataFrame(texts, "i int, t string").select("i", notes.alias("n"), files.without_heading(body).alias("b")).orderBy("i").collect()
+    assert [(r.n, r.b) for r in rows] == [("说明", "正文"), ("", ""), ("", "正文\n# 题"), ("", None)]
+
+
+def test_an_index_with_its_meta_data(spark, tmp_path):
+    import numpy as np
+
+    vec = spark.createDataFrame([("a", [3.0, 4.0]), ("z", [0.0, 0.0])], "key string, vec array<double>")
+    index.write_index(vec, str(tmp_path / "i"), "m", 2, corpus_hash="sha256:x")
+    got, meta = index.read_index(spark, str(tmp_path / "i"), 2)
+    assert meta == {"model": "m", "dim": 2, "count": 2, "partial": False, "corpus_hash": "sha256:x", "metadata_hash": ""} and got.count() == 2
+    with pytest.raises(ValueError):
+        index.read_index(spark, str(tmp_path / "i"), 3)
+    np.savez_compressed(tmp_path / "v.npz", keys=np.array(["甲#1", "乙#2"], dtype="U"), vectors=np.array([[3, 4], [0, 0]], dtype=np.float16))
+    assert {r.key: [round(x, 4) for x in r.vec] for r in index.read_arrays(spark, str(tmp_path / "v.npz")).collect()} == {"甲#1": [0.6, 0.8], "乙#2": [0.0, 0.0]}
+    assert index.meta_of('{"model": "m"}')["dim"] is None

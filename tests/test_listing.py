@@ -64,3 +64,17 @@ def test_staged_tables_and_spreading(spark, rows):
     assert at.exists()
     clear_staged(spark)
     assert not at.exists()
+
+
+def test_groups_checklist_and_source_tree(spark, rows):
+    codes = spark.createDataFrame([(210,), (350,), (310,), (110,), (None,)], "c int")
+    got = [tuple(r) for r in codes.select("c", L.group_of(F.col("c")).alias("g"), L.group_position(L.group_of(F.col("c"))).alias("p")).collect()]
+    assert got == [(210, "行政法规", 2), (350, "司法解释", 3), (310, "地方法规", 4), (110, "法律语料", 1), (None, "法律语料", 1)]
+    r = [("宪法", "宪法", "a ", None, 3, None), ("宪法修正案", "宪法", None, None, 3, "x"), ("某法", None, None, None, 9, None), ("乙法", "法律", None, None, None, None)]
+    df = spark.createDataFrame(r, "title string, category string, promulgated string, effective string, status_code int, issuer string")
+    assert rows(L.checklist(df, {3: "有效"}), "title", "promulgated", "status") == sorted([("宪法修正案", "", "有效"), ("某法", "", "未知(9)"), ("乙法", "", "未知(None)")], key=repr)
+    nodes = [("法/甲法(2001-02-03).md", "blob", 5), ("法/乙法（2004年）.md", "blob", None), ("法/_x.md", "blob", 1), ("法/a/丙.md", "blob", 1), ("他/丁.md", "blob", 1), ("法/戊", "tree", 1), ("法/中华人民共和国己法.md", "blob", 2)]
+    got = rows(L.title_index(spark.createDataFrame(nodes, "path string, type string, size long"), ["法"]), "title", "date", "year", "size")
+    assert got == sorted([("甲法", "2001-02-03", None, 5), ("乙法", None, "2004", 0), ("己法", None, None, 2)], key=repr)
+    files = spark.createDataFrame([("a/x.md",), ("a/y.md",), ("index.md",), ("a/x.md",)], "file string")
+    assert rows(L.stale_files(files, files.limit(1))) == [("a/y.md",)]

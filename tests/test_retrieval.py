@@ -178,3 +178,16 @@ def test_segments_are_scored_one_by_one(spark):
     assert best[1, "a"] == 1
     fused = fusion.rerank_head(pool, spark.createDataFrame([(1, "b", 0.9), (1, "a", 0.1)], "qid int, key string, score double"), 2, "replace")
     assert [(r.qid, r.key) for r in fused.orderBy("qid", "rank").collect()] == [(1, "b"), (1, "a"), (1, "c"), (2, "b")]
+
+
+def test_article_blocks(spark):
+    df = spark.createDataFrame([(1, TEXT, "t"), (2, None, "t"), (3, "第一条 甲\n乙\n第一条之二 丙", "t"), (4, "第二条 第一条", "t")], "id int, t string, line string")
+    got = {r.id: (r.line, r.block) for r in segments.article_blocks(df, "id", "t", F.lit("第一条"), ["甲", "乙"]).collect()}
+    assert got == {1: (8, "第一条　甲\n乙\n\n## 第二 节 其他"), 3: (1, "第一条 甲\n乙")}
+    assert segments.article_blocks(df, "id", "t", F.lit("第一条"), ["无"]).count() == 0
+
+
+def test_chapters_of_many_marks(spark):
+    text = "\n".join(f"## 第{'一二三四'[i % 4]}{'编章节章'[i % 4]} h{i}\n第一条 a{i}" for i in range(40))
+    got = {r.body.split(" ")[1]: r.chapter for r in segments.clauses(spark.createDataFrame([(1, text)], "i int, t string"), "t").collect()}
+    assert got["a0"] == "第一编 h0" and got["a6"] == "第一编 h4 第三节 h6" and got["a39"] == "第一编 h36 第四章 h39"
