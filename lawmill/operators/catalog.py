@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lawmill.functions.titles import DECISION, category_rank, core_phrase, letters_only, match_key, title_score
+from lawmill.operators.contain import containing
 
 # Official status codes, their names and layers.
 STATUS_NAME = {1: "已废止", 2: "已修改", 3: "现行有效", 4: "尚未生效", -1: "已失效"}
@@ -101,19 +102,15 @@ def title_search(queries: DataFrame, catalog: DataFrame, depth: int = 10) -> Dat
     """qid, rank, title, promulgated, score: catalog entries whose title fits the query, best first.
 
     queries: qid, query; catalog: title, promulgated, category. Scores are those of title_score, order is score,
-    category rank, length of the title, promulgated down, title. Candidates come from equality of a piece: a title that
-    holds the phrase or core holds its first four characters (or all of a shorter one), so no pair is compared that shares
-    nothing. Repeated entries of title and promulgated count once.
+    category rank, length of the title, promulgated down, title. Only titles that hold the phrase or the core score; they are
+    found by its rarest piece. Repeated entries of title and promulgated count once.
     """
     entries = first_by(catalog.filter("title is not null"), ["title", "promulgated"], category_rank(F.col("category"))).withColumn("name", letters_only(F.col("title")))
     q = queries.select("qid", letters_only(F.col("query")).alias("phrase"), core_phrase(F.col("query")).alias("core"))
-    qk = q.withColumn("piece", F.explode(F.array_distinct(F.array(F.left("phrase", F.lit(4)), F.left("core", F.lit(4)))))).filter("piece <> ''")
-    lengths = [r.n for r in qk.select(F.length("piece").alias("n")).distinct().collect()]  # 1 to 4
-    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - n + 1)), lambda i: F.substr("name", i, F.lit(n)))
-    pieces = [cut(n) for n in lengths]
-    ek = entries.withColumn("piece", F.explode(F.array_distinct(F.concat(*pieces)))) if pieces else entries.withColumn("piece", F.lit(None).cast("string"))
+    asked = q.withColumn("i", F.explode(F.array_distinct(F.array("phrase", "core")))).filter("i <> ''")
+    pairs = containing(entries.select(F.col("name").alias("o")), asked.select("i"))
     score = title_score(F.col("title"), F.col("phrase"), F.col("core"))
-    hits = ek.join(qk, "piece").withColumn("score", score).filter("score > 0").dropDuplicates(["qid", "title", "promulgated"])
+    hits = pairs.join(asked, "i").join(entries, F.col("o") == F.col("name")).withColumn("score", score).filter("score > 0").dropDuplicates(["qid", "title", "promulgated"])
     w = W.partitionBy("qid").orderBy(F.desc("score"), category_rank(F.col("category")), F.length("name"), F.desc(F.coalesce("promulgated", F.lit(""))), "title")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= depth).select("qid", "rank", "title", "promulgated", "score")
 

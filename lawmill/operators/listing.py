@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lawmill.functions.titles import norm_title, short_title
 from lawmill.operators.catalog import first_by
+from lawmill.operators.contain import containing
 
 # The display order of categories.
 CATEGORY_ORDER = (
@@ -49,20 +50,12 @@ def merged_parts(df: DataFrame, key: str, part: str, text: str, parts: list[str]
     return full.select(key, F.concat_ws("\n\n", *[F.concat(F.lit(f"## {p}\n\n"), F.col(f"_{i}")) for i, p in enumerate(parts)]).alias("text"))
 
 
-def held_in(a: DataFrame, b: DataFrame, piece: int = 3) -> DataFrame:
-    """key, other of the pairs whose keys hold one another (either way). Keys are distinct; a key that another holds
-    shows it its first characters, so pairs come from equality of pieces; keys shorter than a piece are compared whole
-    with pieces of their own length. Empty and null keys hold nothing."""
-    a = a.select(F.col("key")).filter("key <> ''").distinct()
-    b = b.select(F.col("key").alias("other")).filter("other <> ''").distinct()
-
-    def one_way(inner: DataFrame, i: str, outer: DataFrame, o: str) -> DataFrame:
-        heads = inner.withColumn("p", F.left(i, F.lit(piece)))
-        cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(o) - n + 1)), lambda x: F.substr(F.col(o), x, F.lit(n)))
-        grams = outer.withColumn("p", F.explode(F.array_distinct(F.concat(*[cut(n) for n in range(1, piece + 1)]))))
-        return grams.join(heads, "p").filter(F.contains(F.col(o), F.col(i))).select("key", "other")
-
-    return one_way(b, "other", a, "key").unionByName(one_way(a, "key", b, "other")).distinct()
+def held_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    """key, other of the pairs whose keys hold one another (either way). Empty and null keys hold nothing."""
+    x, y = a.select("key"), b.select(F.col("key").alias("other"))
+    one = containing(x.select(F.col("key").alias("o")), y.select(F.col("other").alias("i"))).select(F.col("o").alias("key"), F.col("i").alias("other"))
+    two = containing(y.select(F.col("other").alias("o")), x.select(F.col("key").alias("i"))).select(F.col("i").alias("key"), F.col("o").alias("other"))
+    return one.unionByName(two).distinct()
 
 
 def supplement(wanted: DataFrame, sources: DataFrame) -> DataFrame:

@@ -78,3 +78,17 @@ def test_groups_checklist_and_source_tree(spark, rows):
     assert got == sorted([("甲法", "2001-02-03", None, 5), ("乙法", None, "2004", 0), ("己法", None, None, 2)], key=repr)
     files = spark.createDataFrame([("a/x.md",), ("a/y.md",), ("index.md",), ("a/x.md",)], "file string")
     assert rows(L.stale_files(files, files.limit(1))) == [("a/y.md",)]
+
+
+def test_pairs_of_which_one_holds_the_other(spark, rows):
+    import random
+
+    from lawmill.operators.contain import containing
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("甲乙丙") for _ in range(n))
+    o, i = [word(rng.randrange(9)) for _ in range(60)] + [None], [word(rng.randrange(6)) for _ in range(40)] + [None, "丁"]
+    got = rows(containing(spark.createDataFrame([(x,) for x in o], "o string"), spark.createDataFrame([(x,) for x in i], "i string")))
+    assert got == sorted({(a, b) for a in o for b in i if a and b and b in a}, key=repr)
+    none = spark.createDataFrame([], "i string")
+    assert containing(spark.createDataFrame([("a",)], "o string"), none).count() == 0
