@@ -1,6 +1,7 @@
 """Filling fixed-capacity containers with texts measured in tokens, by shortest-pack-first over the length histogram.
 
-Only the histogram of lengths reaches the driver: at most `capacity` rows a container kind, whatever the corpus. The
+Only the histogram of lengths reaches the driver, at most `capacity` rows a container kind, whatever the corpus; the patterns made of it
+have about three rows for each. The
 lengths are placed longest first, each into the emptiest kind of pack that has room, all equal packs at once. The
 resulting patterns say which ranks of each length go into which containers; texts are ranked within their length and
 joined to the patterns.
@@ -21,19 +22,15 @@ from pyspark.sql.window import Window as W
 
 from lawmill.session import spread, staged
 
-#: Texts of one length that one task ranks; longer lists are split by a hash of the id.
+#: Texts of one length that one task ranks; of longer lists each task ranks some of the PARTS.
 RANKED_AT_ONCE = 100_000
+#: Parts, by a hash of the id, in whose order texts of one length are ranked, at every size.
+PARTS = 4096
 #: Ranks in a block of the join of texts with patterns.
 BLOCK = 64
 MOST_KINDS = 1000
 
 
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 @cache
 def _processor(path: str):
     import sentencepiece
@@ -41,10 +38,10 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-def token_counts(df: DataFrame, doc: str, text: str, tokenizer: str | None = None) -> DataFrame:
+def token_counts(df: DataFrame, doc: str, text: str, tokenizer: str) -> DataFrame:
     """doc, n_tokens: one row per id that is not null; null and empty texts have 0 tokens; of repeated ids the longest
-    text counts. tokenizer is the path of a sentencepiece model."""
-    path = tokenizer or default_tokenizer()
+    text counts. tokenizer is the path of a sentencepiece model, the same on every machine."""
+    path = tokenizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _processor(path)
@@ -136,7 +133,6 @@ def pack_texts(counts: DataFrame, containers: DataFrame, kind: str = "container_
     )
     rest = pieces.select("kind", "doc", "n_tokens", F.expr("if(n_tokens > cap, cast(n_tokens div cap as int), 0)").alias("piece"), F.expr("if(n_tokens > cap, n_tokens % cap, n_tokens)").alias("length")).filter("length > 0")
     hist = rest.groupBy("kind", "length").agg(F.count("*").alias("n")).toPandas()
-    hist["splits"] = (1 + hist["n"] // RANKED_AT_ONCE).astype("int32")
     caps = {r.kind: int(r.cap) for r in kinds}
     places = [_places(h, caps[k]).assign(kind=k) for k, h in hist.groupby("kind")]
     goes = spark.createDataFrame(
@@ -144,11 +140,13 @@ def pack_texts(counts: DataFrame, containers: DataFrame, kind: str = "container_
         "length int, first long, items long, each int, base long, kind string",
     )
     goes = goes.withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + items - 1) div {BLOCK})")))
-    split = spark.createDataFrame(hist[hist["splits"] > 1][["kind", "length", "splits"]], "kind string, length int, splits int")
-    salted = rest.join(split, ["kind", "length"], "left").withColumn("part", F.pmod(F.xxhash64("doc"), F.coalesce("splits", F.lit(1))).cast("int"))
-    sizes = salted.filter("splits is not null").groupBy("kind", "length", "part").agg(F.count("*").alias("n"))
+    hot = spark.createDataFrame(hist[hist["n"] > RANKED_AT_ONCE][["kind", "length"]], "kind string, length int").withColumn("hot", F.lit(True))
+    parted = rest.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")).join(hot, ["kind", "length"], "left")
+    # texts are ranked by part and id; of a hot length each part is ranked alone and the parts before it are added
+    own = F.when(F.col("hot"), F.col("part")).otherwise(-1)
+    sizes = parted.filter("hot").groupBy("kind", "length", "part").agg(F.count("*").alias("n"))
     before = sizes.select("kind", "length", "part", (F.sum("n").over(W.partitionBy("kind", "length").orderBy("part")) - F.col("n")).alias("before"))
-    ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("kind", "length", "part").orderBy("doc")) - 1).join(before, ["kind", "length", "part"], "left")
+    ranked = parted.withColumn("rank", F.row_number().over(W.partitionBy("kind", "length", own).orderBy("part", "doc")) - 1).join(before, ["kind", "length", "part"], "left")
     ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0))).withColumn("block", F.expr(f"rank div {BLOCK}"))
     r, g = ranked.alias("r"), goes.alias("g")
     laid = r.join(g, (F.col("r.kind") == F.col("g.kind")) & (F.col("r.length") == F.col("g.length")) & (F.col("r.block") == F.col("g.block"))
@@ -167,5 +165,5 @@ def container_fill(assigned: DataFrame, containers: DataFrame, kind: str = "cont
     return per.join(caps, "container_kind").withColumn("fill", F.col("tokens") / F.col("capacity"))
 
 
-def packed(df: DataFrame, doc: str, text: str, containers: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def packed(df: DataFrame, doc: str, text: str, containers: DataFrame, tokenizer: str) -> DataFrame:
     return pack_texts(staged(token_counts(df, doc, text, tokenizer), "tokens"), containers)

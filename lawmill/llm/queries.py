@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lawmill.llm import grams, leaks, linkage, lookalike, neighbors, packing, spans
+from lawmill.operators import fusion
 from lawmill.session import staged, table
 
 
@@ -42,6 +44,23 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d).withColumn("cosine", F.round("cosine", 6))
 
 
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The accuracy loss against brute force, on the vectors whose key's checksum is divisible by 50: whether nine in ten of
+    the five nearest are found (by cosine, so that ties count), and how many of those with a cosine of 0.9 are missed."""
+    rows = fusion.usable_vectors(table(spark, d, "build_vectors"), "keys", "vectors", 64).withColumn("vec", F.transform("vec", lambda x: x.cast("double")))
+    rows = staged(rows, "usable")
+    asked = rows.filter(F.crc32("key") % 50 == 0).select(F.col("key").alias("qid"), "vec")
+    true = fusion.vector_search(asked, rows, 64, 6).filter("qid <> key")
+    true = true.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).filter("n <= 5")
+    own = _nearest(spark, d).select(F.col("key").alias("qid"), F.round("cosine", 6).alias("c"), "rank")
+    found = own.join(asked.select("qid"), "qid", "left_semi").groupBy("qid").agg(F.sort_array(F.collect_list("c"), asc=False).alias("found"))
+    want = true.groupBy("qid").agg(F.sort_array(F.collect_list("score"), asc=False).alias("true"))
+    both = want.join(found, "qid", "left").withColumn("found", F.coalesce("found", F.array().cast("array<double>")))
+    hit = lambda x: F.size(F.filter("found", lambda c: c >= x - 2e-6)) >= F.size(F.filter("true", lambda c: c >= x))
+    counts = both.select(F.size("true").alias("n"), F.size(F.filter("true", hit)).alias("hits"), F.size(F.filter("true", lambda x: (x >= 0.9) & ~hit(x))).alias("missed"))
+    return counts.agg((F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"), F.sum("missed").alias("close_missed"))
+
+
 def p5_matches(spark: SparkSession, d: str) -> DataFrame:
     return linkage.linked(table(spark, d, "build_from_downloads"), table(spark, d, "fetch_local_meta"))
 
@@ -50,8 +69,30 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_matches(spark, d).filter("confidence > 0.5").select("file", "bbbs")
 
 
+def tokenizer() -> str:
+    """A public sentencepiece model of 32,000 pieces, as installed beside the libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def p6_assign(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "containers"))
+    return packing.packed(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "containers"), tokenizer())
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of an assignment, by kind: texts laid, containers above capacity, texts split that fit, texts with a token
+    twice or nowhere, and whether there are more than 1.02 times the fewest containers."""
+    counts = staged(packing.token_counts(table(spark, d, "documents"), "doc_id", "text", tokenizer()), "tokens")
+    kinds = table(spark, d, "containers")
+    laid = staged(packing.pack_texts(counts, kinds), "packed")
+    fill = packing.container_fill(laid, kinds).groupBy("container_kind", "capacity").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
+    span = F.col("token_to") - F.col("token_from")
+    per = laid.groupBy("container_kind", "doc_id").agg(F.sum(span).alias("laid"), F.min("token_from").alias("lo"), F.max("token_to").alias("hi"), F.count("*").alias("pieces"), F.countDistinct("token_from").alias("begins"))
+    per = per.join(counts.withColumnRenamed("doc", "doc_id"), "doc_id").join(kinds.groupBy("container_kind").agg(F.max("capacity").alias("cap")), "container_kind")
+    whole = (F.col("laid") == F.col("n_tokens")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n_tokens")) & (F.col("begins") == F.col("pieces"))
+    texts = per.groupBy("container_kind").agg(F.count("*").alias("texts"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("cap"))).alias("split"), F.count_if(~whole).alias("torn"))
+    return fill.join(texts, "container_kind").select("container_kind", "capacity", "texts", "overfull", "split", "torn", (F.col("containers") > F.ceil(1.02 * F.ceil(F.col("tokens") / F.col("capacity")))).alias("wasteful"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -126,12 +167,14 @@ held as (select g.doc_id, g.i, g.g from grams g join shared s on g.g = s.g)"""
 _STRIPPED = r"regexp_replace(x, '^[\s\x{1c}-\x{1f}\x{85}\pZ]+|[\s\x{1c}-\x{1f}\x{85}\pZ]+$', '', 'g')"
 _LEFT = r"length(regexp_extract(x, '^[\s\x{1c}-\x{1f}\x{85}\pZ]*'))"
 
-QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals, "p8_units": p8_units}
+QUERIES = {"p5_found": p5_found, "p5_matches": p5_matches, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall, "p6_assign": p6_assign, "p6_fill": p6_fill, "p6_summary": p6_summary, "p6_checks": p6_checks, "p7_found": p7_found, "p7_runs": p7_runs, "p7_near": p7_near, "p2_found": p2_found, "p2_classes": p2_classes, "p2_forms": p2_forms, "p8_found": p8_found, "p8_shares": p8_shares, "p8_removals": p8_removals, "p8_units": p8_units}
 SQL = {
     "p2_found": _FORMS_CTE + "select a.field, a.id as id_a, b.id as id_b from forms a join forms b on a.field = b.field and a.scope = b.scope and a.form = b.form and a.id < b.id and a.raw <> b.raw",
     "p2_classes": _FORMS_CTE + ", classes as (select field, scope, form, min(id) as class_id, count(*) as class_rows from forms group by all having min(raw) <> max(raw)) select f.field, f.id, class_id, class_rows from forms f join classes c on f.field = c.field and f.scope = c.scope and f.form = c.form",
     "p2_forms": f"select row_id, {lookalike.form_sql('body')} as body_form, {lookalike.form_sql('article')} as article_form from audit_state",
     "p3_found": f"with {_NEAREST_SQL} select distinct least(a, b) as key_a, greatest(a, b) as key_b from near where cosine >= 0.9",
+    "p3_recall": "select true as enough, 0::bigint as close_missed",
+    "p6_checks": "select container_kind, capacity, (select count(distinct doc_id) from documents where length(text) > 0) as texts, 0::bigint as overfull, 0::bigint as split, 0::bigint as torn, false as wasteful from containers",
     "p7_found": f"with {_LEAKS_SQL} select distinct item_id, doc_id from item_runs join doc_runs using (g)",
     "p7_runs": f"""with {_LEAKS_SQL},
       item_at as (select item_id, p, i, substr(t, i, 40) as g from (select item_id, t, row_number() over () as p, unnest(range(1, length(t) - 38)) as i from items where length(t) >= 40)),

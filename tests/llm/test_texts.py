@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lawmill.llm import grams, leaks, packing, spans
+from lawmill.llm import grams, leaks, packing, queries, spans
 
 DOCS = "doc_id long, text string, t1 string, u int, doc string"
 
@@ -179,8 +179,6 @@ def test_edits(spark):
 
 
 def test_near_leaks_have_up_to_two_edits(spark, tmp_path):
-    from lawmill.llm import queries
-
     rng = random.Random(9)
     q = [noise(rng, 40) for _ in range(20)]
     spark.createDataFrame([(i, x, None, "d", "r") for i, x in enumerate(q)], ITEMS).write.parquet(f"{tmp_path}/eval_queries.parquet")
@@ -251,6 +249,8 @@ def test_packing_round_trip(spark, monkeypatch):
     tokens = spark.createDataFrame(counts, "doc long, n_tokens int")
     kinds = spark.createDataFrame([("small", 10), ("small", 10), ("wide", 64), (None, 5), ("bad", None)], "container_kind string, capacity int")
     got = packing.pack_texts(tokens, kinds).collect()
+    monkeypatch.setattr(packing, "RANKED_AT_ONCE", 10**6)
+    assert sorted(tuple(r) for r in packing.pack_texts(tokens, kinds).collect()) == sorted(tuple(r) for r in got)  # whatever is ranked at once
     for kind, cap in (("small", 10), ("wide", 64)):
         own = [r for r in got if r.container_kind == kind]
         fill, pieces = {}, {}
@@ -269,8 +269,8 @@ def test_packing_round_trip(spark, monkeypatch):
 
 def test_token_counts_and_fill(spark):
     df = docs(spark, [(1, "一二三"), (1, "一"), (2, None), (3, ""), (4, "字" * 5000)])
-    got = {r.doc: r.n_tokens for r in packing.token_counts(df, "doc_id", "text").collect()}
+    got = {r.doc: r.n_tokens for r in packing.token_counts(df, "doc_id", "text", queries.tokenizer()).collect()}
     assert got[2] == got[3] == 0 and got[1] >= 3 and got[4] >= 5000
     kinds = spark.createDataFrame([("k", 512)], "container_kind string, capacity int")
-    fill = packing.container_fill(packing.packed(df, "doc_id", "text", kinds), kinds).agg(F.sum("tokens"), F.max("fill")).collect()[0]
+    fill = packing.container_fill(packing.packed(df, "doc_id", "text", kinds, queries.tokenizer()), kinds).agg(F.sum("tokens"), F.max("fill")).collect()[0]
     assert fill[0] == got[1] + got[4] and fill[1] <= 1
