@@ -149,7 +149,7 @@ def pack_texts(counts: DataFrame, containers: DataFrame, kind: str = "container_
     ranked = parted.withColumn("rank", F.row_number().over(W.partitionBy("kind", "length", own).orderBy("part", "doc")) - 1).join(before, ["kind", "length", "part"], "left")
     ranked = ranked.withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0))).withColumn("block", F.expr(f"rank div {BLOCK}"))
     r, g = ranked.alias("r"), goes.alias("g")
-    laid = r.join(g, (F.col("r.kind") == F.col("g.kind")) & (F.col("r.length") == F.col("g.length")) & (F.col("r.block") == F.col("g.block"))
+    laid = r.join(g.hint("merge"), (F.col("r.kind") == F.col("g.kind")) & (F.col("r.length") == F.col("g.length")) & (F.col("r.block") == F.col("g.block"))
                   & (F.col("r.rank") >= F.col("g.first")) & (F.col("r.rank") < F.col("g.first") + F.col("g.items")))
     laid = laid.select(
         F.col("r.kind").alias("kind"), F.concat(F.lit("pack-"), F.expr("g.base + (r.rank - g.first) div g.each")).alias("container_id"), F.col("r.doc").alias("doc"),
