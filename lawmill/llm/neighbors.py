@@ -100,40 +100,34 @@ class Forest:
         return own, further
 
 
-def best_in_block(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, k: int, rows: int = 256, head: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def best_in_block(q: np.ndarray, x: np.ndarray, q_id: np.ndarray, x_id: np.ndarray, k: int, rows: int = 128, groups: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """For each row of q the places in x of its k largest products (rows of unit length, float32), itself excepted:
-    (places, products), -1 and -inf where x is too short. The k-th best of the first columns bars most of the rest."""
+    (places, products), -1 and -inf where x is too short. The k largest lie in the k groups with the largest maxima, so
+    only those are looked through. x_id ascends."""
     n, m = len(q), len(x)
     place = np.full((n, k), -1, dtype=np.int64)
     value = np.full((n, k), -np.inf, dtype=np.float32)
-    head = min(m, max(head, 4 * k))
+    if not m:
+        return place, value
+    w = min(m, max(groups, 4 * k))
+    g = -(-m // w)
+    turned = np.zeros((x.shape[1], g * w), dtype=np.float32)
+    turned[:, :m] = x.T
     for lo in range(0, n, rows):
-        s = q[lo : lo + rows] @ x.T
+        s = q[lo : lo + rows] @ turned
         c = len(s)
+        s[:, m:] = -np.inf
         same = np.searchsorted(x_id, q_id[lo : lo + c])
         hit = np.flatnonzero(x_id[np.minimum(same, m - 1)] == q_id[lo : lo + c])
         s[hit, same[hit]] = -np.inf
-        kk = min(k, head)
-        top = np.argpartition(s[:, :head], head - kk, axis=1)[:, head - kk :] if kk < head else np.tile(np.arange(head), (c, 1))
-        val = np.take_along_axis(s, top, 1)
-        if m > head:
-            pad = -(m - head) % 8
-            over = np.zeros((c, m - head + pad), dtype=bool)
-            np.greater(s[:, head:], val.min(axis=1)[:, None], out=over[:, : m - head])
-            words = np.flatnonzero(over.view(np.uint64).ravel())
-            r8, c8 = np.divmod(words, over.shape[1] // 8)
-            r, b = np.nonzero(over.reshape(-1, 8)[words])
-            r, col = r8[r], c8[r] * 8 + b + head
-            r = np.concatenate([np.repeat(np.arange(c), kk), r])
-            col = np.concatenate([top.ravel(), col])
-            v = s[r, col]
-            order = np.lexsort((-v, r))
-            r, col, v = r[order], col[order], v[order]
-            rank = np.arange(len(r)) - np.searchsorted(r, r)
-            keep = rank < k
-            place[lo + r[keep], rank[keep]], value[lo + r[keep], rank[keep]] = col[keep], v[keep]
-        else:
-            place[lo : lo + c, :kk], value[lo : lo + c, :kk] = top, val
+        most = s.reshape(c, g, w).max(axis=1)
+        kk = min(k, w)
+        top = np.argpartition(most, w - kk, axis=1)[:, w - kk :]
+        col = (top[:, None, :] + w * np.arange(g)[:, None]).reshape(c, g * kk)
+        v = np.take_along_axis(s, col, 1)
+        kk = min(k, v.shape[1])
+        best = np.argpartition(v, v.shape[1] - kk, axis=1)[:, v.shape[1] - kk :]
+        place[lo : lo + c, :kk], value[lo : lo + c, :kk] = np.take_along_axis(col, best, 1), np.take_along_axis(v, best, 1)
     place[value == -np.inf] = -1
     return place, value
 
@@ -219,8 +213,9 @@ def nearest_ids(vectors: DataFrame, dim: int, k: int, leaf: int = LEAF, trees: i
 
     routed = spread(vectors.select("id", "v")).mapInArrow(route, "cell int, id long, v binary, member boolean")
     found = routed.groupBy("cell").applyInArrow(search, "id long, near array<struct<cosine:double,id:bigint>>")
-    best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near"))), asc=False), 1, k)
-    return found.groupBy("id").agg(best.alias("near"))
+    every = found.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near")), asc=False).alias("all")).select("id", F.explode(F.array("all")).alias("all"))
+    once = F.filter("all", lambda x, i: (i == 0) | (F.get("all", i - 1)["id"] != x["id"]))  # one found in several leaves stands side by side
+    return every.select("id", F.slice(once, 1, k).alias("near"))
 
 
 def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5, **options) -> DataFrame:

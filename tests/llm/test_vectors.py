@@ -56,7 +56,7 @@ def test_recall_of_the_forest(spark):
 def test_block_search_and_deep_leaves():
     x = clustered(700, 8, 1)
     unit = N._unit(x)
-    place, value = N.best_in_block(unit, unit, np.arange(700), np.arange(700), 5, rows=64, head=40)
+    place, value = N.best_in_block(unit, unit, np.arange(700), np.arange(700), 5, rows=64, groups=40)
     s = unit @ unit.T
     np.fill_diagonal(s, -np.inf)
     assert np.allclose(-np.sort(-value, axis=1), -np.sort(-s, axis=1)[:, :5], atol=1e-5) and (place >= 0).all()
