@@ -141,7 +141,8 @@ def pack_texts(counts: DataFrame, containers: DataFrame, kind: str = "container_
     )
     goes = goes.withColumn("block", F.explode(F.expr(f"sequence(first div {BLOCK}, (first + items - 1) div {BLOCK})")))
     hot = spark.createDataFrame(hist[hist["n"] > RANKED_AT_ONCE][["kind", "length"]], "kind string, length int").withColumn("hot", F.lit(True))
-    parted = rest.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int")).join(hot, ["kind", "length"], "left")
+    parted = rest.withColumn("part", F.pmod(F.xxhash64("doc"), F.lit(PARTS)).cast("int"))
+    parted = parted.join(F.broadcast(hot), ["kind", "length"], "left")  # lengths: no more than the capacities together
     # texts are ranked by part and id; of a hot length each part is ranked alone and the parts before it are added
     own = F.when(F.col("hot"), F.col("part")).otherwise(-1)
     sizes = parted.filter("hot").groupBy("kind", "length", "part").agg(F.count("*").alias("n"))
