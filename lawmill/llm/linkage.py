@@ -45,7 +45,7 @@ NO_TITLE, NO_DATE = 4.0, 183
 SAME_TIME = 45
 #: The fit of what characters are read for others: imagined sightings of a character as itself, sightings it needs, and the
 #: cost of one that is always read so.
-READ_AS_ITSELF, LEAST_SEEN, MISREAD = 1, 4, 0.1
+READ_AS_ITSELF, LEAST_SEEN, MISREAD = 1, 2, 0.1
 #: Candidate pairs of a component that one task solves; larger components are solved in rounds over partitions.
 PAIRS_IN_TASK = 20_000
 #: Candidate pairs that one call solves, in whole components.
