@@ -46,10 +46,12 @@ def match_official(files: DataFrame, official: DataFrame) -> DataFrame:
     official: title, date, status_code, status, effective; dates are YYYY-MM-DD. A file matches the entry of its title
     and date; else it takes the newest entry of its title, or of its title without separators: a later file is a merged
     text still in force, an earlier one a superseded version. how: exact, title, key or none. Repeated entries count
-    once (the largest status code, then status); null titles match nothing.
+    once (the largest status code, then status); null titles match nothing. Where the list has category and issuer, they come
+    along as official_category and official_issuer.
     """
+    more = [c for c in ("category", "issuer") if c in official.columns]
     entries = first_by(official.filter("title is not null"), ["title", "date"], F.desc_nulls_last("status_code"), F.desc_nulls_last("status"), F.desc_nulls_last("effective"))
-    cols = lambda p: [F.col("date").alias(f"{p}_date"), F.col("status_code").alias(f"{p}_code"), F.col("status").alias(f"{p}_status"), F.col("effective").alias(f"{p}_eff"), F.lit(True).alias(p)]
+    cols = lambda p: [F.col("date").alias(f"{p}_date"), F.col("status_code").alias(f"{p}_code"), F.col("status").alias(f"{p}_status"), F.col("effective").alias(f"{p}_eff"), F.lit(True).alias(p), *[F.col(c).alias(f"{p}_{c}") for c in more]]
     exact = entries.filter("date is not null").select(F.col("title").alias("_t"), F.col("date").alias("_d"), *cols("e"))
     by_title = newest_per_title(entries, "title", "date").select(F.col("title").alias("_t1"), *cols("t"))
     keyed = entries.withColumn("key", match_key(F.col("title"))).filter("key <> ''")
@@ -58,14 +60,14 @@ def match_official(files: DataFrame, official: DataFrame) -> DataFrame:
     f = f.withColumn("_key", match_key(F.col("title"))).join(by_key, F.col("_key") == F.col("_k"), "left")
     how = F.when(F.col("e"), "exact").when(F.col("t"), "title").when(F.col("n"), "key").otherwise("none")
     pick = lambda c: F.when(F.col("e"), F.col(f"e_{c}")).when(F.col("t"), F.col(f"t_{c}")).otherwise(F.col(f"n_{c}"))
-    f = f.select(*[F.col(c) for c in files.columns], how.alias("how"), pick("date").alias("_od"), pick("code").alias("_oc"), pick("status").alias("_os"), pick("eff").alias("_oe"))
+    f = f.select(*[F.col(c) for c in files.columns], how.alias("how"), pick("date").alias("_od"), pick("code").alias("_oc"), pick("status").alias("_os"), pick("eff").alias("_oe"), *[pick(c).alias(f"official_{c}") for c in more])
     later = ~F.col("how").isin("exact", "none") & (F.col("date") > F.col("_od"))
     earlier = ~F.col("how").isin("exact", "none") & (F.col("date") < F.col("_od"))
     code = F.when(later, 3).when(earlier, 2).otherwise(F.col("_oc"))
     return f.select(
         *files.columns, "how", code.alias("status_code"), F.when(later, MERGED).when(earlier, SUPERSEDED).otherwise(F.col("_os")).alias("status"),
         F.when(later | earlier, F.col("date")).otherwise(F.col("_od")).alias("promulgated"), F.when(later | earlier, "").otherwise(F.col("_oe")).alias("effective"),
-        layer_of(F.col("how") != "none", code, F.col("title"), F.col("voided")).alias("layer"),
+        layer_of(F.col("how") != "none", code, F.col("title"), F.col("voided")).alias("layer"), *[f"official_{c}" for c in more],
     )
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from lawmill.functions import numerals, titles
 from lawmill.functions.hashing import clause_json, digest
-from lawmill.functions.text import iso_date, plain_title
-from lawmill.operators import audit, catalog, listing
+from lawmill.functions.text import iso_date, plain_title, stripped
+from lawmill.operators import audit, build, catalog, listing
+from lawmill.operators.segments import LINE_END
 from lawmill.plans.common import CLAUSES_SQL, EXPANSIONS, LAWS_SQL, clauses, latest_laws
 from lawmill.plans.retrieval import _bm25_sql, word_scores
 from lawmill.plans.tracking import _sql_day
-from lawmill.session import staged, table
+from lawmill.session import spread, staged, table
 
 TODAY = "2026-06-30"
 
@@ -55,6 +56,22 @@ def catalog_match(spark: SparkSession, d: str) -> DataFrame:
     return catalog.match_official(files, staged(_official(spark, d), "official")).select("file", "how", "status_code", "status", "promulgated", "effective", "layer")
 
 
+def status_labels(spark: SparkSession, d: str) -> DataFrame:
+    laws = latest_laws(spark, d).select("file", F.coalesce("title", F.lit("")).alias("title"), "category", F.trim("layer").alias("layer"), F.trim("status").alias("status"))
+    named = laws.withColumn("label", build.category_label(F.col("category"), F.col("title")))
+    return named.select("file", "label", build.status_label(F.col("status"), F.col("layer"), F.col("title"), F.col("label"), F.col("title").rlike(titles.VOID)).alias("status"))
+
+
+def corpus_build(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of the day they were published, built into a corpus against the last delivery of the catalog."""
+    t = table(spark, d, "documents").filter("title is not null")
+    name = F.concat(F.regexp_replace("title", r"[/\\]", "_"), F.lit("_"), F.regexp_replace(iso_date(F.col("published")), "-", ""), F.lit(".txt"))
+    paras = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), LINE_END), lambda x: stripped(F.regexp_replace(x, "^#+ ", ""))), lambda x: x != "")
+    files = t.select(name.alias("name"), paras.alias("paras"), "source")
+    made = build.corpus(spread(files), staged(_official(spark, d), "official"))
+    return made.select("name", "category", "layer", "status", "promulgated", "effective", "effective_source", "article_count", "chars", F.length("text").alias("text_chars"))
+
+
 def catalog_diff(spark: SparkSession, d: str) -> DataFrame:
     local = latest_laws(spark, d).filter("trim(layer) = 'current'").select(plain_title(F.col("title")).alias("title"), iso_date(F.col("promulgated")).alias("promulgated"), iso_date(F.col("effective")).alias("effective"))
     local = catalog.first_by(local.filter("title is not null"), ["title"], F.desc("promulgated"), F.desc("effective"))
@@ -247,7 +264,7 @@ _case = lambda code, t, other: "case " + " ".join(f"when {code} = {k} then '{v}'
 _KEY = r"regexp_replace({}, '[\s　、·]+', '', 'g')"
 
 QUERIES = {f.__name__: f for f in (
-    file_names, safe_stems, catalog_match, catalog_diff, latest_version, source_preference, dedup_first_wins, upsert_last_wins, title_score, html_strip, local_records,
+    file_names, safe_stems, catalog_match, status_labels, corpus_build, catalog_diff, latest_version, source_preference, dedup_first_wins, upsert_last_wins, title_score, html_strip, local_records,
     local_counts, top_regions, corpus_stats, expansion_check, snapshot_age, article_numerals, effective_backfill, doc_hash, clause_hash, corpus_fingerprint,
     index_diff, index_coverage, audit_gate, exact_fingerprints, audit_report, checklist, source_index, stale_files,
 )}
@@ -294,6 +311,11 @@ SQL = {
     "exact_fingerprints": f"""with {CLAUSES_SQL}, {_HASHES}
       select 'corpus' as of, 'sha256:' || sha256('[' || string_agg(to_json({{'hash': hash, 'key': key}})::varchar, ',' order by key, hash) || ']') as fingerprint, count(*) as rows from hashes
       union all select 'metadata', 'sha256:' || sha256('[' || string_agg(to_json({{'key': key, 'layer': layer, 'status': status}})::varchar, ',' order by key, layer, status) || ']'), count(*) from hashes""",
+    "status_labels": f"""with {LAWS_SQL}, n as (select file, coalesce(title, '') as title, trim(layer, ' ') as layer, trim(status, ' ') as status,
+        coalesce(nullif(category, ''), case {' '.join(f"when regexp_matches(coalesce(title, ''), '{p}') then '{c}'" for p, c in build.BY_ISSUER)} else '{build.NO_CATEGORY}' end) as label from laws)
+      select file, label, case when regexp_matches(title, '{titles.VOID}') then '{build.VOID_STATUS}'
+        when layer = 'decision' and coalesce(status, '') <> '' then case when regexp_matches(title, '{titles.DECISION}') or ends_with(label, '修改废止决定') then '{build.AMENDING}' else '{build.OTHER_DECISION}' end
+        when coalesce(status, '') <> '' then status else '{build.NO_STATUS}' end as status from n""",
     "checklist": f"""with r as (select {_clean('title')} as title, category, promulgated, effective, issuer, status_code from check_updates where snapshot = (select max(snapshot) from check_updates))
       select title, category, coalesce(trim(promulgated, ' '), '') as promulgated, coalesce(trim(effective, ' '), '') as effective, {_STATUS_SQL} as status, coalesce(trim(issuer, ' '), '') as issuer, count(*) as n
       from r where title <> '' and (coalesce(category, '') <> '宪法' or regexp_matches(title, '修正文本|修正案')) group by all""",

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from lawmill.functions import structure, titles
 from lawmill.functions.text import BLANK, plain_title, stripped
 from lawmill.operators import bm25 as B
-from lawmill.operators import listing
+from lawmill.operators import fusion, listing
 from lawmill.operators.segments import ARTICLE, LINE_END
 from lawmill.operators.terms import EXPANSION_WEIGHT, build_terms
 from lawmill.plans.common import CLAUSES_SQL, EXPANSIONS, LAWS_SQL, clauses, latest_laws
@@ -118,9 +118,20 @@ def rewrite_lists(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_queries").select("item_id", F.posexplode(listing.rewrite_list(answer, 3)).alias("i", "text"))
 
 
+def rrf_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    """The question and each of its rewrites as routes, counted in one pass and fused."""
+    routes = rewrite_lists(spark, d).select(F.concat_ws("#", "item_id", "i").alias("id"), "text")
+    main = table(spark, d, "eval_queries").select(F.concat_ws("#", "item_id", F.lit("q")).alias("id"), F.col("question").alias("text"))
+    terms = build_terms(main.unionByName(routes), "id", "text", EXPANSIONS)
+    part = F.split("qid", "#")
+    terms = staged(terms.select(part[1].alias("route"), part[0].cast("long").alias("qid"), "term", "weight", "kind", "min_df"), "terms")
+    lists = B.ranked(B.bm25(searched(spark, d), terms, ("qid", "route")), 100, ("qid", "route"))
+    return fusion.top(fusion.multi_route([lists]), "rrf", 20).select("qid", "rank", "key", "rrf")
+
+
 QUERIES = {f.__name__: f for f in (
     law_filter, metadata_search, manifest_counts, manifest_order, index_lines, embedding_input, vectors_pending, expansions_added, term_diagnostics, search_view, document_counts, structure_heads,
-    title_flags, download_queue, cache_fresh, merged_parts, supplement_match, rewrite_lists,
+    title_flags, download_queue, cache_fresh, merged_parts, supplement_match, rewrite_lists, rrf_rewrites,
 )}
 
 _ORDER = "case category " + " ".join(f"when '{c}' then {i}" for i, c in enumerate(listing.CATEGORY_ORDER)) + f" else {listing.LAST} end"
@@ -165,6 +176,17 @@ def _heads_sql() -> str:
       from documents d left join g on d.doc_id = g.doc_id"""
 
 
+_REWRITES = r"""a as (select item_id, case when item_id % 2 = 0 then [trim(coalesce(question, ''), ' '), trim(coalesce(note, ''), ' ')]
+        else list_transform(list_filter(regexp_split_to_array('1. ' || coalesce(question, '') || '；- ' || coalesce(note, ''), '[\n；;]+'), lambda x: trim(x, ' ') <> ''),
+                            lambda x: regexp_replace(regexp_replace(x, '^[ \t\-"''、,，0-9.）)]+', ''), '[ \t\-"''、,，0-9.）)]+$', '')) end as l from eval_queries),
+      b as (select item_id, case when item_id % 2 = 0 then list_filter(l, lambda x: x <> '') else l end[:3] as l from a)"""
+
+
+def _rewrite_route(route: str) -> str:
+    words = _bm25_sql("t").replace("eval_queries", "one_route")
+    return f"select qid, key, rank from (with one_route as (select item_id, t from asked where route = '{route}'), {words} select qid, key, rank from words where rank <= 100)"
+
+
 SQL = {
     "structure_heads": _heads_sql(),
     "law_filter": f"with {LAWS_SQL} select file, title, category, layer from laws where coalesce(trim(layer, ' '), 'current') in ('current', 'historical') and contains(title, '保护') and contains(category, '条例')",
@@ -192,9 +214,9 @@ SQL = {
       w as (select distinct {_HAN} as key from fetch_local_meta where {_HAN} <> '')
       select w.key, s.path, 'exact' as how from w join s on w.key = s.key union all
       select w.key, min(s.path), 'held' from w, s where w.key not in (select key from s) and (contains(w.key, s.key) or contains(s.key, w.key)) group by w.key""",
-    "rewrite_lists": r"""with a as (select item_id, case when item_id % 2 = 0 then [trim(coalesce(question, ''), ' '), trim(coalesce(note, ''), ' ')]
-        else list_transform(list_filter(regexp_split_to_array('1. ' || coalesce(question, '') || '；- ' || coalesce(note, ''), '[\n；;]+'), lambda x: trim(x, ' ') <> ''),
-                            lambda x: regexp_replace(regexp_replace(x, '^[ \t\-"''、,，0-9.）)]+', ''), '[ \t\-"''、,，0-9.）)]+$', '')) end as l from eval_queries),
-      b as (select item_id, case when item_id % 2 = 0 then list_filter(l, lambda x: x <> '') else l end[:3] as l from a)
-      select item_id, (generate_subscripts(l, 1) - 1)::int as i, unnest(l) as text from b""",
+    "rewrite_lists": f"with {_REWRITES} select item_id, (generate_subscripts(l, 1) - 1)::int as i, unnest(l) as text from b",
+    "rrf_rewrites": f"""with {_REWRITES}, rewritten as (select item_id, (generate_subscripts(l, 1) - 1)::int as i, unnest(l) as text from b),
+      asked as (select item_id, 'q' as route, question as t from eval_queries union all select item_id, i::varchar, text from rewritten)
+      select * from (select qid, row_number() over (partition by qid order by rrf desc, key) as rank, key, rrf from (
+        select qid, key, round(sum(1.0::double / (60 + rank)), 9) as rrf from ({' union all '.join(_rewrite_route(r) for r in ('q', '0', '1', '2'))}) group by qid, key)) where rank <= 20""",
 }

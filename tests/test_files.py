@@ -107,3 +107,25 @@ def test_an_index_with_its_meta_data(spark, tmp_path):
     np.savez_compressed(tmp_path / "v.npz", keys=np.array(["甲#1", "乙#2"], dtype="U"), vectors=np.array([[3, 4], [0, 0]], dtype=np.float16))
     assert {r.key: [round(x, 4) for x in r.vec] for r in index.read_arrays(spark, str(tmp_path / "v.npz")).collect()} == {"甲#1": [0.6, 0.8], "乙#2": [0.0, 0.0]}
     assert index.meta_of('{"model": "m"}')["dim"] is None
+
+
+def test_a_corpus_from_archives(spark, tmp_path):
+    from lawmill.operators import build
+
+    lines = ["甲法", "（2001年1月1日通过）", "第一章 总则", "第一条 乙", "第二条 本法自2001年3月1日起施行。"]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/甲法_20010101.docx", docx(*[f"<w:r><w:t>{x}</w:t></w:r>" for x in lines]))
+        z.writestr("x/丙法（失效）_19990101.docx", docx("<w:r><w:t>丙法</w:t></w:r>"))
+        z.writestr("x/最高人民法院解释_20050101.docx", b"broken")
+        z.writestr("x/note.txt", b"no")
+    official = spark.createDataFrame([("甲法", "2001-01-01", 3, "现行有效", "", "法律", "某会"), ("丙法", "1999-01-01", 3, "现行有效", "1999-02-02", None, None)],
+                                     "title string, date string, status_code int, status string, effective string, category string, issuer string")
+    made = {r.title: r for r in build.corpus(build.archived_files(spark, str(tmp_path)), official).collect()}
+    a, c, e = made["甲法"], made["丙法"], made["最高人民法院解释"]
+    assert (a.category, a.layer, a.status, a.effective, a.effective_source, a.issuer, a.article_count, a.text_status) == ("法律", "current", "现行有效", "2001-03-01", "text", "某会", 2, "full")
+    assert a.file == "corpus/法律/甲法(2001-01-01).md" and "> 沿革：（2001年1月1日通过）" in a.text and "## 第一章 总则" in a.text and "施行：2001-03-01（正文推定）" in a.text
+    assert (c.category, c.layer, c.status, c.effective_source) == (build.NO_CATEGORY, "historical", build.VOID_STATUS, "official") and build.NOT_CURRENT in c.text
+    assert (e.category, e.status, e.text_status) == ("高法司法解释", build.NO_STATUS, "metadata-only") and build.NO_TEXT in e.text
+    counts = build.envelope(spark.createDataFrame(list(made.values()))).first()
+    assert counts["count"] == 3 and counts.by_layer == {"current": 2, "historical": 1}
+    assert build.corpus(build.archived_files(spark, str(tmp_path)).limit(0), official).count() == 0
