@@ -152,7 +152,8 @@ def candidates(law: DataFrame, rec: DataFrame, pieces: int = PIECES) -> DataFram
         return lk.join(rk, ["key", "piece", "slot"]).select("file", "bbbs")
 
     keyed = law.withColumn("key", _place_key(F.col("place")))
-    heads = rec.select("bbbs", F.explode(F.expr("transform(sequence(2, 8), n -> left(title, n))")).alias("key"))
+    longest = keyed.agg(F.max(F.length("key")).alias("n")).first()["n"] or 1
+    heads = rec.select("bbbs", F.explode(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.left("title", n))).alias("key")).distinct()
     places = heads.join(keyed.select("key").filter("key <> ''").distinct(), "key", "left_semi").unionByName(rec.filter("said is not null").select("bbbs", _place_key(F.col("said")).alias("key"))).distinct()
     rest = F.when(F.startswith("title", "key"), F.regexp_replace(F.substr("title", F.length("key") + 1), "^" + _PLACE_END[:-1], "")).otherwise(F.col("title"))
     at_home = meet(
